@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eavspark.llm import mixing, packing, token_store
+from eavspark.llm import embed_dedup, gif, langid, mixing, ngram_join, packing, quality, token_store, warc
 from eavspark.llm.shared import new_path
 
 
@@ -12,10 +12,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op4_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-store")
     token_store.write(table(spark, sf_dir, "documents"), path)
@@ -26,10 +42,26 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.features(gif.store(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
+    "op2_langid": op2_langid,
     "op3_packing": op3_packing,
+    "op4_embed_dedup": op4_embed_dedup,
+    "op6_quality": op6_quality,
     "op7_token_store": op7_token_store,
     "op8_mixing": op8_mixing,
+    "op9_warc": op9_warc,
+    "op10_gif": op10_gif,
 }
 
 ORACLES = {
