@@ -51,7 +51,7 @@ def signature(shingles: np.ndarray, hashes: int) -> np.ndarray:
     return best
 
 
-def sets(documents: DataFrame, words: int, depths: list[int], depth: int) -> DataFrame:
+def sets(documents: DataFrame, words: int, depths: list[int], depth: int, keep: str | None) -> DataFrame:
     """row, doc_id, same (digest of the set), size, shingles (sorted 32-bit, as differences), keys (a tree's prefix each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,11 +72,12 @@ def sets(documents: DataFrame, words: int, depths: list[int], depth: int) -> Dat
                     else:
                         keys.append([])
                 yield pa.RecordBatch.from_arrays(
-                    [rows["doc_id"], pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(data, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "same", "size", "shingles", "keys"],
+                    [rows["doc_id"], rows["kept_key"], pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(data, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "kept_key", "same", "size", "shingles", "keys"],
                 )
 
-    found = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, same binary, size long, shingles binary, keys array<long>")
+    found = documents.select(F.col("doc_id").cast("long"), (F.col(keep) if keep else F.lit(0)).cast("long").alias("kept_key"), "text")
+    found = found.mapInArrow(run, "doc_id long, kept_key long, same binary, size long, shingles binary, keys array<long>")
     return stage(found.withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
@@ -106,16 +107,16 @@ def shared_counts(of: np.ndarray, what: np.ndarray, n: int) -> np.ndarray:
     return out + out.T
 
 
-def links(documents: DataFrame, words: int = WORDS, similar: float = SIMILAR, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links(documents: DataFrame, words: int = WORDS, similar: float = SIMILAR, recall: float = RECALL, keep: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Copies, counts and edges, as of ``embed_dedup.links``, by row.
 
     copies: (row, doc_id, rep, same, size). counts: (rep, n), the documents linked to a
     rep besides its copies. edges: (a, b) between reps.
     """
-    all_sets = sets(documents, words, prefixes(similar, recall), DEPTH)
-    slim = all_sets.select("row", "doc_id", F.when(F.col("size") > 0, F.col("same")).otherwise(F.encode(F.col("row").cast("string"), "UTF-8")).alias("same_as"), "size")
+    all_sets = sets(documents, words, prefixes(similar, recall), DEPTH, keep)
+    slim = all_sets.select("row", "doc_id", "kept_key", F.when(F.col("size") > 0, F.col("same")).otherwise(F.encode(F.col("row").cast("string"), "UTF-8")).alias("same_as"), "size")
     reps = slim.groupBy("same_as").agg(F.min("row").alias("rep"), F.count("*").alias("same"))
-    copies = stage(slim.join(reps, "same_as").select("row", "doc_id", "rep", "same", "size"), "copies")
+    copies = stage(slim.join(reps, "same_as").select("row", "doc_id", "kept_key", "rep", "same", "size"), "copies")
     # a prefix in a tree links its members to the first of them
     only = copies.where("row = rep AND size > 0").select("row", "same")
     members = all_sets.select("row", "keys").join(only, "row").select("row", "same", F.posexplode("keys").alias("tree", "key"))
@@ -150,7 +151,7 @@ def links(documents: DataFrame, words: int = WORDS, similar: float = SIMILAR, re
     return copies, found.groupBy("rep").agg(F.sum("n").alias("n")), found.select(F.col("rep").alias("a"), F.col("to").alias("b"))
 
 
-def classes(documents: DataFrame, words: int = WORDS, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
+def classes(documents: DataFrame, words: int = WORDS, similar: float = SIMILAR, recall: float = RECALL, keep: str | None = None) -> DataFrame:
     """One row a document: doc_id, class_id (the smallest doc_id linked to it, over any links), n_links, kept.
 
     Documents are linked if the Jaccard similarity of their sets of ``words``-word n-grams
@@ -158,14 +159,15 @@ def classes(documents: DataFrame, words: int = WORDS, similar: float = SIMILAR,
     more similar ones more surely. A text of fewer words is one n-gram. Texts without
     words (null, empty) link with nothing. kept is true of one row of each class, one with
     the smallest id. Repeated rows are documents of their own; a null id comes after all
-    others, and a class of nothing else has a null class_id. Other columns are ignored.
+    others, and a class of nothing else has a null class_id. ``keep`` names a long column that comes back; other columns are ignored.
     """
-    copies, counts, edges = links(documents, words, similar, recall)
+    copies, counts, edges = links(documents, words, similar, recall, keep)
     of = components(edges)
     linked = copies.join(counts, "rep", "left").join(of, F.col("rep") == F.col("node"), "left").select(
-        "row", "doc_id", (F.when(F.col("size") > 0, F.col("same") - 1).otherwise(0) + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"),
+        "row", "doc_id", "kept_key", (F.when(F.col("size") > 0, F.col("same") - 1).otherwise(0) + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("component", "rep").alias("component"),
     )
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
     first = linked.groupBy("component").agg(F.min(place).alias("first"))
-    return linked.join(first, "component").select("doc_id", F.col("first.doc_id").alias("class_id"), "n_links", (F.col("row") == F.col("first.row")).alias("kept"))
+    out = ["doc_id", F.col("first.doc_id").alias("class_id"), "n_links", (F.col("row") == F.col("first.row")).alias("kept")]
+    return linked.join(first, "component").select(*out, *([F.col("kept_key").alias(keep)] if keep else []))

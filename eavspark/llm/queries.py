@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eavspark.llm import embed_dedup, gif, langid, mixing, ngram_join, packing, quality, token_store, warc
+from eavspark.llm import embed_dedup, gif, langid, mixing, ngram_join, packing, quality, substring, token_store, warc
 from eavspark.llm.shared import new_path
 
 
@@ -28,6 +28,10 @@ def op4_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,16 +56,24 @@ def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.features(gif.store(table(spark, sf_dir, "documents")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_langid": op2_langid,
     "op3_packing": op3_packing,
     "op4_embed_dedup": op4_embed_dedup,
+    "op5_substring": op5_substring,
     "op6_quality": op6_quality,
     "op7_token_store": op7_token_store,
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
     "op10_gif": op10_gif,
+    "pipeline": pipeline,
 }
 
 ORACLES = {
