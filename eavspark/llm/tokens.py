@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -23,11 +24,27 @@ LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 MOST = 400_000
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary.
+
+    Visible bytes stand for themselves; the others take the code points from 256 on, in order.
+    """
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
+LETTERS = byte_letters()
+
+
 class Ids(dict):
-    """Text without outer context to its ids, as little-endian 16-bit bytes."""
+    """Text without outer context to its ids, as little-endian 16-bit bytes.
+
+    A text that is one piece goes straight to the library's merges, past its splitting.
+    """
 
     def __init__(self, tokenizer, split=None):
-        self.encode, self.split = tokenizer.encode, split
+        self.merges, self.split = tokenizer.model.tokenize, split
         self.parts = Ids(tokenizer) if split else None
 
     def __missing__(self, text: str) -> bytes:
@@ -38,7 +55,7 @@ class Ids(dict):
         elif self.split:
             ids = self.parts[text]
         else:
-            ids = np.array(self.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+            ids = struct.pack(f"<{len(found)}H", *found) if (found := [t.id for t in self.merges(text.encode().decode("latin-1").translate(LETTERS))]) else b""
         self[text] = ids
         return ids
 
