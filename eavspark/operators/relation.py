@@ -40,7 +40,12 @@ class Relation:
         return col(v), self.types[v]
 
     def select(self, vars: list[Var]) -> Relation:
-        return Relation(self.df.select(*map(col, vars)), {v: self.types[v] for v in vars})
+        return Relation(self.df.select(*map(col, vars), *self.weight), {v: self.types[v] for v in vars})
+
+    @property
+    def weight(self) -> list[str]:
+        """The column of weights, which relations of changes have besides their variables."""
+        return ["_w"] if "_w" in self.df.columns else []
 
     def distinct(self) -> Relation:
         return Relation(self.df.distinct(), self.types) if self.types else Relation(self.df.limit(1), {})
@@ -56,7 +61,7 @@ class Relation:
     def as_types(self, types: dict[Var, str]) -> Relation:
         """The same rows, with typed columns tagged where ``types`` says any."""
         columns = [(to_any(col(v), t) if types.get(v, t) == "any" else col(v)).alias(v.name) for v, t in self.types.items()]
-        return Relation(self.df.select(*columns), {v: types.get(v, t) for v, t in self.types.items()})
+        return Relation(self.df.select(*columns, *self.weight), {v: types.get(v, t) for v, t in self.types.items()})
 
     def _aligned(self, other: Relation, on: list[Var]) -> tuple[Relation, Relation] | None:
         """Both with equal types of the shared variables; None if no rows can meet."""

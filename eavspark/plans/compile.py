@@ -107,7 +107,7 @@ class Compiler:
             place(p.value, F.col(f"v{unique.index(a)}"), a.kind)
         for t in tests:
             df = df.where(t)
-        df = df.select(*[c.alias(v.name) for v, (c, _) in columns.items()])
+        df = df.select(*[c.alias(v.name) for v, (c, _) in columns.items()], *(["_w"] if "_w" in df.columns else []))
         out = Relation(df, {v: kind for v, (_, kind) in columns.items()})
         return out.distinct() if blank else out
 
