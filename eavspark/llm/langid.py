@@ -28,6 +28,8 @@ SAMPLE = 250
 CENTROIDS = 4
 #: A text is rejected below this part of the least cosine that training texts of its length had.
 SLACK = 0.6
+#: Training texts that a length needs for a bound of its own.
+ENOUGH = 20
 #: Words of the windows that, besides whole texts, show how cosines depend on length.
 WINDOWS = (1, 2, 4, 8, 16, 32, 64)
 UNKNOWN = "und"
@@ -142,11 +144,11 @@ def fit(documents: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS)
         part = dense(got.slice(low, 512))
         cosine.append(model.nearest(part)[1]), bins.append(model.bins(part))
     cosine, bins = np.concatenate(cosine), np.concatenate(bins)
-    least = np.array([cosine[bins == b].min() if (bins == b).any() else np.nan for b in range(len(model.least))])
-    # a length which training lacks takes the bound of the next shorter one
+    # longer texts are closer to a centroid: a length of which training has little takes the bound of the next shorter one
+    least = np.zeros(len(model.least))
     for b in range(len(least)):
-        if np.isnan(least[b]):
-            least[b] = least[b - 1] if b else 0
+        own = cosine[bins == b]
+        least[b] = own.min() if len(own) >= ENOUGH else min([*own, least[b - 1] if b else 0.0])
     model.least = SLACK * least
     return model
 
