@@ -77,6 +77,28 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_ngram_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a),
+        c AS (SELECT doc_id, min(other) AS class_id FROM r GROUP BY 1),
+        k AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY 1)
+        SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, doc_id = class_id AS kept FROM c LEFT JOIN k USING (doc_id)
+    """,
+    "op9_warc": r"""
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        h AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first FROM p),
+        n AS (SELECT *, list_transform(range(0, 4), lambda k: CAST('0x' || hex[10 * k + 1:10 * k + 10] AS BIGINT)) AS parts FROM h)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+               array_to_string(flatten(list_transform(parts, lambda v: list_transform(range(7, -1, -1), lambda j: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST((v >> CAST(5 * j AS INT)) & 31 AS INT) + 1]))), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM n
+    """,
     "op8_mixing": r"""
         WITH d AS (
           SELECT row_number() OVER (ORDER BY doc_id) AS row_id, doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffle,
