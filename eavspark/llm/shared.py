@@ -26,8 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Folders that this process has made.
+MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder in the shared one that nothing else uses; ``clear`` deletes them all."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all folders that this process has made, once no DataFrame that reads them is needed."""
+    while MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -6,8 +6,6 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-pytest.importorskip("eavspark.llm.ngram_join")
-
 from pyspark.sql import functions as F
 
 from eavspark.llm import embed_dedup, ngram_join, substring

@@ -9,8 +9,6 @@ import zlib
 import numpy as np
 import pytest
 
-pytest.importorskip("eavspark.llm.gif")
-
 from eavspark.llm import gif, warc
 from eavspark.llm.shared import new_path
 

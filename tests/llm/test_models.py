@@ -5,8 +5,6 @@ import random
 import numpy as np
 import pytest
 
-pytest.importorskip("eavspark.llm.langid")
-
 from pyspark.sql import functions as F
 
 from eavspark.llm import langid, quality

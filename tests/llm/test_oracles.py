@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-queries = pytest.importorskip("eavspark.llm.queries")
+from eavspark.llm import queries
 
 SF = "/root/testdata/sf0.001"
 

@@ -2,8 +2,6 @@
 
 import pytest
 
-pytest.importorskip("corpus_pipeline")
-
 from pyspark.sql import functions as F
 
 import corpus_pipeline

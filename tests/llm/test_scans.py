@@ -6,8 +6,6 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-pytest.importorskip("eavspark.llm.packing")
-
 from tokenizers import Tokenizer
 
 from eavspark.llm import mixing, packing, token_store, tokens
