@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from eavspark.functions.values import MEMBER, MEMBERS
 from eavspark.sources.base import Attribute, FactSource
-from eavspark.sources.schema import Schema
+from eavspark.sources.schema import TX_PART, Schema, entity_id
 
 COLUMNS = T.StructType(
     [
@@ -64,7 +64,9 @@ class DatomSource(FactSource):
         if basis is not None:
             rows = rows.where(F.col("tx") <= basis)
         latest = rows.groupBy("e", "v").agg(F.max(F.struct("tx", "added")).alias("last")).where("last.added")
-        return latest.select("e", "v", *([F.col("last.tx").alias("tx")] if with_tx else []))
+        # a fact's transaction is an entity, which has facts of its own
+        tx = (F.lit(entity_id(TX_PART, 0)) + F.col("last.tx")).alias("tx")
+        return latest.select("e", "v", *([tx] if with_tx else []))
 
 
 def row(e: int, attribute: Attribute, value, tx: int, added: bool) -> tuple:

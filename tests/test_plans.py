@@ -71,3 +71,15 @@ def test_refused(text, args, message):
     with pytest.raises(QueryError) as e:
         validate(parse(text), args)
     assert message in str(e.value)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["[:find ?e :where [?e :a 1]]", '[:find ?e (sum ?v) :in ?x [?y ...] [[?z _]] [?q ?w] :with ?e :where [?e :a ?v] [(+ ?v 1.5) ?k] (or [?e :b "s"] (and [?e :b ?x] (not [?e :c :k/w]))) :order [?e :desc] :limit 3]',
+     "[:find ?e . :where [?e :a 12N] [_ :b ?e]]", "[:find [?e ...] :where (not-join [?e] [?e :a _ ?t]) (or-join [?e] [?e :b true])]", "[:find (pull ?e [* :a :as :b]) (the ?x) :where (rule ?e ?x 3) [(type ?x :db.type/long)] :limit ?n]",
+     '[:find [?e ?t] :where [?e :a #inst "2020-01-01T00:00:00Z"] [?e :u #uuid "550e8400-e29b-41d4-a716-446655440000"] [$s ?e :a ?t]]'],
+)
+def test_text_comes_back(text):
+    from eavspark.plans.text import text as write
+
+    assert parse(write(parse(text))) == parse(text)
