@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from eavspark.llm.shared import crc_mod4
+from eavspark.llm.shared import crc_mod4, ship
 
 #: Dimensions of a vector.
 DIMENSIONS = 1 << 13
@@ -98,6 +98,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS)
     id. Their n-gram counts, of fixed size, come to the driver. None if there is nothing
     to learn from.
     """
+    ship(documents.sparkSession)
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod4(F.col("doc_id")) != 2))
     by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = known.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(by)).where(F.col("n") <= sample)

@@ -7,15 +7,21 @@ as a table in the shared folder, so a lost executor costs only a re-read.
 
 from __future__ import annotations
 
+import os
+import shutil
+import sysconfig
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+import eavspark
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset."""
@@ -26,12 +32,29 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once, where they would not find it by themselves.
+
+    They find it where it is installed, or where its folder is on PYTHONPATH or the working folder.
+    """
+    package = Path(eavspark.__file__).parent
+    if str(package.parent) in {os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep), sysconfig.get_path("purelib")}:
+        return
+    context = spark.sparkContext
+    if context.applicationId not in SHIPPED:
+        SHIPPED.add(context.applicationId)
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name))
+
+
+#: Applications that have the package.
+SHIPPED: set[str] = set()
 #: Folders that this process has made.
 MADE: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A folder in the shared one that nothing else uses; ``clear`` deletes them all."""
+    ship(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     MADE.append(path)
     return path
