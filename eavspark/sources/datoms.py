@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,10 +29,11 @@ class DatomSource(FactSource):
     """``path`` holds the table; ``schema`` is that of the newest transaction, for every basis.
 
     ``recent`` has rows of transactions that aren't in the table yet, for a store in memory.
+    ``retracted`` has the attributes of which any fact was ever retracted.
     """
 
-    def __init__(self, spark: SparkSession, schema: Schema, path: str | None = None, recent: list | None = None):
-        self.spark, self.schema, self.path = spark, schema, path
+    def __init__(self, spark: SparkSession, schema: Schema, path: str | None = None, recent: list | None = None, retracted: set[int] | None = None):
+        self.spark, self.schema, self.path, self.retracted = spark, schema, path, retracted
         self.recent = recent if recent is not None else []
 
     def attribute(self, ident):
@@ -63,10 +64,16 @@ class DatomSource(FactSource):
         rows = self.rows(attribute).select("e", v.alias("v"), "tx", "added")
         if basis is not None:
             rows = rows.where(F.col("tx") <= basis)
+        if not attribute.many and self.retracted is not None and attribute.id not in self.retracted:
+            # single values that were never replaced: each row is a fact, and no versions need to meet
+            return rows.select("e", "v", *([transaction(F.col("tx"))] if with_tx else []))
         latest = rows.groupBy("e", "v").agg(F.max(F.struct("tx", "added")).alias("last")).where("last.added")
-        # a fact's transaction is an entity, which has facts of its own
-        tx = (F.lit(entity_id(TX_PART, 0)) + F.col("last.tx")).alias("tx")
-        return latest.select("e", "v", *([tx] if with_tx else []))
+        return latest.select("e", "v", *([transaction(F.col("last.tx"))] if with_tx else []))
+
+
+def transaction(number: Column) -> Column:
+    """The entity of a transaction, which has facts of its own."""
+    return (F.lit(entity_id(TX_PART, 0)) + number).alias("tx")
 
 
 def row(e: int, attribute: Attribute, value, tx: int, added: bool) -> tuple:
