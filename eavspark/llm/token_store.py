@@ -29,6 +29,7 @@ from eavspark.llm.shared import boundaries, drop, partitions, running_total, sta
 END = 2
 #: Ids of a chunk: at least, at most; and the bits that cut, so 64 + 256 on average.
 LEAST, MOST, BITS = 64, 2048, 8
+CHUNKS = "key binary, n long, data binary"
 #: The rolling window is 2 ** STEPS ids.
 STEPS, FACTOR = 4, 0x9E3779B97F4A7C15
 
@@ -123,15 +124,16 @@ def write(documents: DataFrame, path: str, vocabulary: str | None = None, end: i
     kept.write.option("compression", "none").partitionBy("kind").parquet(f"{path}/sent")
     fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     at = lambda x: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{x}")
-    if not fs.rename(at("sent/kind=0"), at("chunks")) and kept.limit(1).count():
-        raise RuntimeError("the chunks could not be put in their place")
-    # Recipes take their place by id; the ids before each document are a running total.
-    if not fs.exists(at("sent/kind=1")):
+    roots = "doc_id long, start long, n_tokens long, digests array<binary>, root binary"
+    if not fs.exists(at("sent/kind=1")):  # no documents: three empty tables
+        for name, kind in (("chunks", CHUNKS), ("recipes", roots), ("manifest", "file int, documents long, first_doc_id long, root binary")):
+            spark.createDataFrame([], kind).write.parquet(f"{path}/{name}")
         fs.delete(at("sent"), True)
         return
+    fs.rename(at("sent/kind=0"), at("chunks"))
+    # Recipes take their place by id; the ids before each document are a running total.
     recipes = spark.read.schema("key binary, doc_id long, n long, data binary").parquet(f"{path}/sent/kind=1")
     placed = running_total(recipes, ["doc_id", "key"], "n", [], "start")
-    roots = "doc_id long, start long, n_tokens long, digests array<binary>, root binary"
 
     def root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,13 +180,13 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
                 ["digest", "n", "crc", "whole"],
             )
 
-    stored = spark.read.schema("key binary, n long, data binary").parquet(f"{path}/chunks")
+    stored = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
     return stored.select("key", "data").mapInArrow(read, "digest binary, n long, crc long, whole boolean")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Documents as they were: doc_id, start, ids (16-bit little-endian bytes)."""
-    unpacked = spark.read.schema("key binary, n long, data binary").parquet(f"{path}/chunks").withColumnRenamed("key", "digest")
+    unpacked = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").withColumnRenamed("key", "digest")
     recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", F.posexplode("digests").alias("k", "digest"))
     whole = recipes.join(unpacked, "digest").groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("k", "data"))).alias("parts"))
 
