@@ -20,8 +20,8 @@ ODD = re.compile(r"[^\t\n\r\x20-\x7e¡-ɏ]")
 #: A blank between blanks: where a cut before every blank would not be one of the library's.
 RUNS = re.compile(r"\s (?:\s|\Z)")
 LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
-#: Cached pieces; a full cache starts anew, which costs time only.
-MOST = 400_000
+#: Cached texts; a full cache starts anew, which costs time only.
+MOST = 600_000
 
 
 def byte_letters() -> dict[int, int]:
@@ -35,27 +35,44 @@ def byte_letters() -> dict[int, int]:
 
 
 LETTERS = byte_letters()
+BLANK = chr(LETTERS[32])
 
 
 class Ids(dict):
-    """Text without outer context to its ids, as little-endian 16-bit bytes.
+    """A text between blanks, after ``before``, to its ids as little-endian 16-bit bytes.
 
-    A text that is one piece goes straight to the library's merges, past its splitting.
+    A text of letters is one piece, and goes straight to the library's merges, past its
+    splitting. Others are split; their pieces of letters are looked up here as well, and
+    what is left (marks, numbers, blanks) in ``rest``.
     """
 
-    def __init__(self, tokenizer, split=None):
-        self.merges, self.split = tokenizer.model.tokenize, split
-        self.parts = Ids(tokenizer) if split else None
+    def __init__(self, tokenizer, split, before: str = ""):
+        self.merges, self.split, self.before = tokenizer.model.tokenize, split, before
+        self.rest: dict[str, bytes] = {}
+
+    def piece(self, text: str) -> bytes:
+        if text.isascii() and text.isprintable():
+            letters = text.replace(" ", BLANK)
+        else:
+            letters = text.encode().decode("latin-1").translate(LETTERS)
+        found = [t.id for t in self.merges(letters)]
+        return struct.pack(f"<{len(found)}H", *found)
+
+    def other(self, piece: str) -> bytes:
+        if piece not in self.rest:
+            if len(self.rest) >= MOST // 4:
+                self.rest.clear()
+            self.rest[piece] = self.piece(piece)
+        return self.rest[piece]
 
     def __missing__(self, text: str) -> bytes:
         if len(self) >= MOST:
             self.clear()
-        if self.split and len(found := self.split(text)) > 1:
-            ids = b"".join(map(self.parts.__getitem__, found))
-        elif self.split:
-            ids = self.parts[text]
+        before, n = self.before, len(self.before)
+        if text.isalpha():
+            ids = self.piece(before + text)
         else:
-            ids = struct.pack(f"<{len(found)}H", *found) if (found := [t.id for t in self.merges(text.encode().decode("latin-1").translate(LETTERS))]) else b""
+            ids = b"".join([self[p[n:]] if p.startswith(before) and p[n:].isalpha() else self.other(p) for p in self.split(before + text)])
         self[text] = ids
         return ids
 
@@ -88,7 +105,7 @@ def encoder(path: str):
 
     elif path.endswith("byte_bpe_50k.json"):
         split = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+").findall
-        cache, inner = Ids(tokenizer, split), Blanks(tokenizer, split)
+        cache, inner = Ids(tokenizer, split), Ids(tokenizer, split, " ")
 
         def encode(text):
             if ODD.search(text) or RUNS.search(text):
@@ -101,16 +118,6 @@ def encoder(path: str):
     return encode
 
 
-class Blanks(Ids):
-    """As ``Ids``, for texts that follow a blank: the blank belongs to them."""
-
-    def __missing__(self, text: str) -> bytes:
-        if len(self) >= MOST:
-            self.clear()
-        self[text] = ids = b"".join(map(self.parts.__getitem__, self.split(" " + text)))
-        return ids
-
-
 def path(name: str) -> str:
     """Where a vocabulary file lies; the default of the operators' parameters."""
     import public_tokenizers
