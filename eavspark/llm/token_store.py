@@ -12,6 +12,7 @@ root of each recipe file and of the whole. Layout under the store's folder:
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -253,14 +254,18 @@ def _zeros() -> list[tuple[int, ...]]:
 ZEROS = _zeros()
 
 
-def crc_join(first: int, second: int, length: int) -> int:
-    """CRC-32 of two strings one after the other; ``length`` is the second's in bytes."""
-    if not first:
-        return second if length else first
-    k = 0
+@functools.lru_cache(maxsize=2 * MOST)
+def _append(length: int) -> tuple[int, ...]:
+    """The operator that appends ``length`` zero bytes."""
+    out, k = tuple(1 << b for b in range(32)), 0
     while length:
         if length & 1:
-            first = _times(ZEROS[k], first)
+            out = tuple(_times(ZEROS[k], x) for x in out)
         length >>= 1
         k += 1
-    return first ^ second
+    return out
+
+
+def crc_join(first: int, second: int, length: int) -> int:
+    """CRC-32 of two strings one after the other; ``length`` is the second's in bytes."""
+    return _times(_append(length), first) ^ second
