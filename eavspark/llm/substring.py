@@ -208,13 +208,14 @@ def passages(documents: DataFrame, least: int = LEAST, same: float = SAME) -> Da
     # Only a chain's surroundings are needed of either text.
     margin = 4 * least
     near = lambda words, start, stop: F.substring(words, (4 * F.greatest(F.lit(0), start - margin)).cast("int") + 1, (4 * (stop - F.greatest(F.lit(0), start - margin) + margin)).cast("int"))
-    texts = held.select("row", "words")
-    own = chains.join(texts, "row").select(*chains.columns, near(F.col("words"), F.col("start"), F.col("stop")).alias("own"))
-    both = own.join(texts.withColumnRenamed("row", "of_row"), "of_row").select(*own.columns, near(F.col("words"), F.col("of_start"), F.col("of_stop")).alias("other"))
+    texts = held.select("row", "words", "doc_id")
+    own = chains.join(texts, "row").select(*chains.columns, "doc_id", near(F.col("words"), F.col("start"), F.col("stop")).alias("own"))
+    of = texts.select(F.col("row").alias("of_row"), F.col("doc_id").alias("of_doc_id"), "words")
+    both = own.join(of, "of_row").select(*own.columns, "of_doc_id", near(F.col("words"), F.col("of_start"), F.col("of_stop")).alias("other"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("row", "of_row", "start", "stop", "of_start", "of_stop", "agreeing")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "stop", "of_doc_id", "of_start", "of_stop", "agreeing", "row", "of_row")}
             for r in batch.to_pylist():
                 x, y = np.frombuffer(r["own"], np.uint32), np.frombuffer(r["other"], np.uint32)
                 dx, dy = max(0, r["start"] - margin), max(0, r["of_start"] - margin)
@@ -228,17 +229,12 @@ def passages(documents: DataFrame, least: int = LEAST, same: float = SAME) -> Da
                     continue
                 n = agreeing(x[a:b], y[c:d])
                 if n >= same * max(b - a, d - c):
-                    for k, v in zip(out, (r["row"], r["of_row"], a + dx, b + dx, c + dy, d + dy, n)):
+                    for k, v in zip(out, (r["doc_id"], a + dx, b + dx, r["of_doc_id"], c + dy, d + dy, n, r["row"], r["of_row"])):
                         out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
 
-    found = both.mapInArrow(align, "row long, of_row long, start long, stop long, of_start long, of_stop long, agreeing long")
-    found = stage(found, "passages")
-    ids = held.select("row", "doc_id")
-    return (
-        found.join(ids, "row").join(ids.select(F.col("row").alias("of_row"), F.col("doc_id").alias("of_doc_id")), "of_row")
-        .select("doc_id", "start", "stop", "of_doc_id", "of_start", "of_stop", "agreeing", "row", "of_row")
-    )
+    schema = "doc_id long, start long, stop long, of_doc_id long, of_start long, of_stop long, agreeing long, row long, of_row long"
+    return stage(both.mapInArrow(align, schema), "passages")
 
 
 def repeats(documents: DataFrame) -> DataFrame:
