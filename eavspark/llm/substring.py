@@ -28,6 +28,8 @@ LEAST, SAME = 50, 0.8
 GAP, GAP_COST, DRIFT_COST = 64, 0.05, 0.25
 #: An end of a chain is extended until it has lost this much; agreeing words gain 1, others lose 2.
 DROP, LOSS = 12, 2
+#: Equal words in a row at either end of a part of a chain, where the whole doesn't agree.
+RUN = 3
 
 
 def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +87,12 @@ class Fenwick:
 
 
 def chain(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Chains of matches (x, y), as (first x, past last x, first y, past last y).
+    """Chains of matches (x, y), as (first x, past last x, first y, past last y)."""
+    return [(p[0][0], p[-1][0] + SEED, p[0][1], p[-1][1] + SEED) for p in paths(x, y)]
+
+
+def paths(x: np.ndarray, y: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Chains of matches (x, y), each as its matches in order.
 
     The score of a chain ending in a match is the new words it covers, plus the best chain that
     ends before it in both texts, less GAP_COST a word between them. That cost is a difference
@@ -97,7 +104,7 @@ def chain(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
     rank = {v: k for k, v in enumerate(sorted(set(y)))}
     places = sorted(rank)
     tree = Fenwick(len(places))
-    score, start = [0.0] * len(x), list(range(len(x)))
+    score, start, before = [0.0] * len(x), list(range(len(x))), [-1] * len(x)
     behind = 0
     last: dict[int, int] = {}
     for k in range(len(x)):
@@ -110,11 +117,18 @@ def chain(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
             drift = abs((x[k] - x[j]) - (y[k] - y[j]))
             joined = score[j] + min(SEED, x[k] - x[j], y[k] - y[j]) - GAP_COST * max(0, x[k] - x[j] + y[k] - y[j] - 2 * SEED) - DRIFT_COST * drift
             if joined > score[k]:
-                score[k], start[k] = joined, start[j]
+                score[k], start[k], before[k] = joined, start[j], j
         root = start[k]
         if root not in last or score[k] > score[last[root]]:
             last[root] = k
-    return [(x[a], x[b] + SEED, y[a], y[b] + SEED) for a, b in last.items()]
+    out = []
+    for k in last.values():
+        path = []
+        while k >= 0:
+            path.append((x[k], y[k]))
+            k = before[k]
+        out.append(path[::-1])
+    return out
 
 
 def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -152,6 +166,64 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+def common(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of two short texts."""
+    table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i, w in enumerate(a):
+        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], table[i, :-1] + (b == w)))
+    out, i, j = [], len(a), len(b)
+    while i and j and table[i, j]:
+        if table[i, j] == table[i, j - 1]:
+            j -= 1
+        elif table[i, j] == table[i - 1, j]:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def parts(x: np.ndarray, y: np.ndarray, path: list[tuple[int, int]], least: int, same: float) -> list[tuple[int, int, int, int, int]]:
+    """Stretches of an aligned chain that agree by themselves, as (start, stop, start, stop, agreeing words).
+
+    The texts are aligned through the chain's matches, and between them by their longest common
+    subsequence. A stretch begins and ends with RUN equal words in a row. The one that
+    agrees in most words comes first, then others until no further run is in any; they may overlap.
+    """
+    held, i, j = [], 0, 0
+    for p, q in [*path, (len(x), len(y))]:
+        skip = max(0, i - p, j - q)
+        if skip >= SEED or p + skip > len(x) or q + skip > len(y):
+            continue
+        p, q = p + skip, q + skip
+        held += [(i + u, j + v) for u, v in common(x[i:p], y[j:q])]
+        n = min(SEED - skip, len(x) - p, len(y) - q)
+        held += [(p + k, q + k) for k in range(n)]
+        i, j = p + n, q + n
+    if not held:
+        return []
+    i, j = np.array(held).T
+    cut = np.flatnonzero((np.diff(i) != 1) | (np.diff(j) != 1))
+    head, tail = np.append(0, cut + 1), np.append(cut, len(i) - 1)
+    solid = tail - head + 1 >= RUN
+    head, tail = head[solid], tail[solid]
+    agree = tail[None, :] - head[:, None] + 1
+    length = i[tail][None, :] - i[head][:, None] + 1
+    span = np.maximum(length, j[tail][None, :] - j[head][:, None] + 1)
+    fits = (length >= least) & (agree >= same * span)
+    out, open_ = [], np.ones(len(head), np.int64)
+    while fits.any():
+        sums = np.append(0, np.cumsum(open_))
+        fits &= sums[1:][None, :] > sums[:-1][:, None]
+        if not fits.any():
+            break
+        a, b = np.unravel_index(np.where(fits, agree - span / (1.0 + span.max()), -np.inf).argmax(), fits.shape)
+        open_[a : b + 1] = 0
+        p, q = head[a], tail[b]
+        out.append((int(i[p]), int(i[q]) + 1, int(j[p]), int(j[q]) + 1, int(q - p) + 1))
+    return out
+
+
 def tokenized(documents: DataFrame) -> DataFrame:
     """row, doc_id, words (64-bit hashes), seeds (places), of each document."""
 
@@ -195,16 +267,17 @@ def passages(documents: DataFrame, least: int = LEAST, same: float = SAME) -> Da
 
     def chained(t: pa.Table) -> pa.Table | None:
         """The chains of one document, by the document that its matches are in."""
-        out = {k: [] for k in ("row", "of_row", "start", "stop", "of_start", "of_stop")}
+        out = {k: [] for k in ("row", "of_row", "start", "stop", "of_start", "of_stop", "path")}
         of, at, there = (t[c].to_numpy() for c in ("of_row", "at", "of_at"))
         order = np.argsort(of, kind="stable")
         for group in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
-            for a, b, c, d in chain(at[group], there[group]):
-                for k, v in zip(out, (t["row"][0].as_py(), int(of[group[0]]), a, b, c, d)):
+            for path in paths(at[group], there[group]):
+                (a, c), (b, d) = path[0], path[-1]
+                for k, v in zip(out, (t["row"][0].as_py(), int(of[group[0]]), a, b + SEED, c, d + SEED, [w for m in path for w in m])):
                     out[k].append(v)
-        return pa.table(out)
+        return pa.table(out, schema=pa.schema([(k, pa.list_(pa.int64()) if k == "path" else pa.int64()) for k in out]))
 
-    chains = stage(map_groups(matches, ["row"], chained, "row long, of_row long, start long, stop long, of_start long, of_stop long"), "chains")
+    chains = stage(map_groups(matches, ["row"], chained, "row long, of_row long, start long, stop long, of_start long, of_stop long, path array<long>"), "chains")
     # Only a chain's surroundings are needed of either text.
     margin = 4 * least
     near = lambda words, start, stop: F.substring(words, (4 * F.greatest(F.lit(0), start - margin)).cast("int") + 1, (4 * (stop - F.greatest(F.lit(0), start - margin) + margin)).cast("int"))
@@ -229,6 +302,11 @@ def passages(documents: DataFrame, least: int = LEAST, same: float = SAME) -> Da
                     continue
                 n = agreeing(x[a:b], y[c:d])
                 if n >= same * max(b - a, d - c):
+                    agreed = [(a, b, c, d, n)]
+                else:
+                    path = [(p - dx - a, q - dy - c) for p, q in zip(r["path"][::2], r["path"][1::2])]
+                    agreed = [(a + p, a + q, c + u, c + v, n) for p, q, u, v, n in parts(x[a:b], y[c:d], path, least, same)]
+                for a, b, c, d, n in agreed:
                     for k, v in zip(out, (r["doc_id"], a + dx, b + dx, r["of_doc_id"], c + dy, d + dy, n, r["row"], r["of_row"])):
                         out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))

@@ -272,3 +272,27 @@ def test_agreeing_is_the_longest_common_subsequence():
             for j, w in enumerate(b):
                 t[i + 1, j + 1] = t[i, j] + 1 if v == w else max(t[i, j + 1], t[i + 1, j])
         assert substring.agreeing(a, b) == t[-1, -1]
+
+
+def spread(tag, n):
+    """Words that come nowhere else."""
+    return [f"{tag}{k}" for k in range(n)]
+
+
+def caught(spark, texts):
+    """Of each text, by place: the words that are found again."""
+    df = spark.createDataFrame([(k, " ".join(w), *REST) for k, w in enumerate(texts)], SCHEMA).coalesce(1)
+    out = [set() for _ in texts]
+    for r in substring.passages(df).collect():
+        assert r.stop - r.start >= substring.LEAST and r.agreeing >= substring.SAME * max(r.stop - r.start, r.of_stop - r.of_start)
+        out[r.doc_id].update(range(r.start, r.stop))
+    return out
+
+
+def test_a_chain_that_fails_is_split(spark):
+    a, b, line = spread("a", 60), spread("b", 60), spread("l", 20)
+    got = caught(spark, [
+        [*a, *spread("c", 40), *line], [*a, *spread("d", 40), *line],
+        [*b, *spread("e", 40), *spread("f", 60)], [*b, *spread("g", 40), *spread("f", 60)],
+    ])
+    assert got == [set(), set(range(60)), set(), {*range(60), *range(100, 160)}]
