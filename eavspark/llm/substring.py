@@ -3,7 +3,8 @@
 Seeds are sampled runs of K words: of each window of hashed runs the smallest (so two
 texts that share W + K - 1 words in a row share a seed). Every occurrence of a seed is
 matched with the seed's first occurrence only, so a passage in very many documents gives
-as many matches as it has occurrences, and no pairs. The matches of two documents are
+as many matches as it has occurrences, and no pairs. What repeats but is in no exact passage
+then is matched once more, by all its runs of LEAST words, with the first of each. The matches of two documents are
 chained in order, with a cost for gaps, through a Fenwick tree over the places in the
 first document; a chain is then aligned word by word, across its gaps and past its ends.
 """
@@ -42,11 +43,18 @@ def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     hashed = grams(words, SEED)
     at = smallest(hashed) if len(hashed) > WINDOW else np.array([int(hashed.argmin())])
+    at = fresh(hashed, at)
+    return at, hashed[at].astype(np.int64)
+
+
+def fresh(hashed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The places of ``at`` less those whose value came within LEAST words before."""
+    if not len(at):
+        return at
     order = np.lexsort((at, hashed[at]))
     one, place = hashed[at[order]], at[order]
     again = np.concatenate([[False], (one[1:] == one[:-1]) & (np.diff(place) < LEAST)])
-    at = np.sort(place[~again])
-    return at, hashed[at].astype(np.int64)
+    return np.sort(place[~again])
 
 
 def smallest(hashed: np.ndarray) -> np.ndarray:
@@ -224,6 +232,39 @@ def parts(x: np.ndarray, y: np.ndarray, path: list[tuple[int, int]], least: int,
     return out
 
 
+def exact_runs(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Stretches of the first of two aligned texts, of ``least`` words or more, that are equal as they stand, from either end."""
+    n, out = min(len(a), len(b)), set()
+    for skip, other in {(0, 0), (len(a) - n, len(b) - n)}:
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], a[skip : skip + n] == b[other : other + n], [False]]).astype(np.int8)))
+        out |= {(int(p) + skip, int(q) + skip) for p, q in edge.reshape(-1, 2) if q - p >= least}
+    return sorted(out)
+
+
+def unmatched(places: np.ndarray, done: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """Stretches of a document, from the places of its repeated seeds, less the runs of ``least`` words inside one of ``done``.
+
+    A repeated passage has a repeated seed in each WINDOW runs, so it reaches at most WINDOW - 1 words
+    past its seeds; where seeds come again within LEAST words some are left out.
+    """
+    if not len(places):
+        return []
+    places = np.sort(places)
+    cut = np.flatnonzero(np.diff(places) > LEAST)
+    out = []
+    for low, high in zip(places[np.append(0, cut + 1)], places[np.append(cut, len(places) - 1)]):
+        at, end = max(0, int(low) - WINDOW + 1), int(high) + SEED + WINDOW - 1
+        for p, q in sorted(done):
+            if q - least < at or p > end - least:
+                continue
+            if p > at:
+                out.append((at, p - 1 + least))
+            at = max(at, q - least + 1)
+        if end - at >= least:
+            out.append((at, end))
+    return out
+
+
 def tokenized(documents: DataFrame) -> DataFrame:
     """row, doc_id, words (64-bit hashes), seeds (places), of each document."""
 
@@ -258,37 +299,98 @@ def passages(documents: DataFrame, least: int = LEAST, same: float = SAME) -> Da
     one repeats; a null id comes back as null. Other columns are ignored.
     """
     held = tokenized(documents)
+    texts = held.select("row", "words", "doc_id")
     found = held.select("row", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("row", F.col("s.seeds").alias("seed"), F.col("s.places").alias("at"))
-    place = F.struct("row", "at")
-    # sums up on the map side, so a seed that is everywhere arrives once from each task
-    firsts = stage(found.groupBy("seed").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("seed", "first"), "firsts")
-    matches = found.join(firsts, "seed").where((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at")))
-    matches = matches.select("row", "at", F.col("first.row").alias("of_row"), F.col("first.at").alias("of_at"))
+    seeded = stage(with_firsts(found), "repeated")
 
     def chained(t: pa.Table) -> pa.Table | None:
-        """The chains of one document, by the document that its matches are in."""
-        out = {k: [] for k in ("row", "of_row", "start", "stop", "of_start", "of_stop", "path")}
-        of, at, there = (t[c].to_numpy() for c in ("of_row", "at", "of_at"))
-        order = np.argsort(of, kind="stable")
-        for group in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
-            for path in paths(at[group], there[group]):
-                (a, c), (b, d) = path[0], path[-1]
-                for k, v in zip(out, (t["row"][0].as_py(), int(of[group[0]]), a, b + SEED, c, d + SEED, [w for m in path for w in m])):
-                    out[k].append(v)
-        return pa.table(out, schema=pa.schema([(k, pa.list_(pa.int64()) if k == "path" else pa.int64()) for k in out]))
-
-    chains = stage(map_groups(matches, ["row"], chained, "row long, of_row long, start long, stop long, of_start long, of_stop long, path array<long>"), "chains")
+        return chain_table(t, paths)
+
+    first = aligned(stage(map_groups(others(seeded), ["row"], chained, CHAIN), "chains"), texts, least, same)
+
+    # A passage whose seeds come first in several texts may be in none of them. What is in no exact passage
+    # yet is matched by all its runs of least words, so that no repeat of that length is left.
+    done = first.select("row", F.explode("exact").alias("e")).select("row", F.col("e.start").cast("int").alias("at"), F.col("e.stop").cast("int").alias("stop"))
+    marks = seeded.select("row", "at", F.lit(None).cast("int").alias("stop")).unionByName(done)
+
+    def left(t: pa.Table) -> pa.Table | None:
+        at, stop = t["at"].to_numpy(), t["stop"].fill_null(-1).to_numpy()
+        some = unmatched(at[stop < 0], list(zip(at[stop >= 0].tolist(), stop[stop >= 0].tolist())), least)
+        return pa.table({"row": [t["row"][0].as_py()] * len(some), "start": [p for p, _ in some], "stop": [q for _, q in some]}) if some else None
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, hashed = [], []
+            for start, words in zip(batch["start"].to_pylist(), batch["words"].to_pylist()):
+                words = np.frombuffer(words, np.uint32).astype(np.uint64)
+                run = grams(words, least) if len(words) >= least else words[:0]
+                some = fresh(run, np.arange(len(run)))
+                at.append((some + start).tolist()), hashed.append(run[some].astype(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(at, pa.list_(pa.int32())), pa.array(hashed, pa.list_(pa.int64()))], ["row", "places", "seeds"])
+
+    part = F.substring("words", (4 * F.col("start")).cast("int") + 1, (4 * (F.col("stop") - F.col("start"))).cast("int")).alias("words")
+    open_ = map_groups(marks, ["row"], left, "row long, start long, stop long").join(texts, "row").select("row", "start", part)
+    long = stage(open_.mapInArrow(runs, "row long, places array<int>, seeds array<long>"), "runs")
+    long = long.select("row", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("row", F.col("s.seeds").alias("seed"), F.col("s.places").alias("at"))
+
+    def joined(t: pa.Table) -> pa.Table | None:
+        return chain_table(t, lambda x, y: diagonals(x, y, least))
+
+    second = aligned(stage(map_groups(others(with_firsts(long)), ["row"], joined, CHAIN), "chains"), texts, least, same)
+    return first.unionByName(second).drop("exact")
+
+
+CHAIN = "row long, of_row long, start long, stop long, of_start long, of_stop long, path array<long>"
+
+
+def with_firsts(found: DataFrame) -> DataFrame:
+    """row, at, of_row, of_at (its first occurrence, perhaps itself), of each place of a seed that comes again."""
+    # sums up on the map side, so a seed that is everywhere arrives once from each task
+    firsts = stage(found.groupBy("seed").agg(F.min(F.struct("row", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("seed", "first"), "firsts")
+    return found.join(firsts, "seed").select("row", "at", F.col("first.row").alias("of_row"), F.col("first.at").alias("of_at"))
+
+
+def others(places: DataFrame) -> DataFrame:
+    return places.where((F.col("row") != F.col("of_row")) | (F.col("at") != F.col("of_at")))
+
+
+def diagonals(x: np.ndarray, y: np.ndarray, least: int) -> list[list[tuple[int, int]]]:
+    """Equal runs of ``least`` words from (x, y) on, joined where they follow one another, each as matches of SEED words."""
+    order = np.lexsort((x, y - x))
+    x, y = x[order], y[order]
+    cut = np.flatnonzero((np.diff(x) != 1) | (np.diff(y) != 1))
+    out = []
+    for p, q in zip(np.append(0, cut + 1), np.append(cut, len(x) - 1)):
+        steps = [*range(0, int(x[q] - x[p]) + least - SEED, SEED), int(x[q] - x[p]) + least - SEED]
+        out.append([(int(x[p]) + k, int(y[p]) + k) for k in steps])
+    return out
+
+
+def chain_table(t: pa.Table, paths) -> pa.Table:
+    """The chains of one document, by the document that its matches are in."""
+    out = {k: [] for k in ("row", "of_row", "start", "stop", "of_start", "of_stop", "path")}
+    of, at, there = (t[c].to_numpy() for c in ("of_row", "at", "of_at"))
+    order = np.argsort(of, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+        for path in paths(at[group], there[group]):
+            (a, c), (b, d) = path[0], path[-1]
+            for k, v in zip(out, (t["row"][0].as_py(), int(of[group[0]]), a, b + SEED, c, d + SEED, [w for m in path for w in m])):
+                out[k].append(v)
+    return pa.table(out, schema=pa.schema([(k, pa.list_(pa.int64()) if k == "path" else pa.int64()) for k in out]))
+
+
+def aligned(chains: DataFrame, texts: DataFrame, least: int, same: float) -> DataFrame:
+    """Passages, as of ``passages``, of chains; exact: the runs of ``least`` words or more in them that are equal."""
     # Only a chain's surroundings are needed of either text.
     margin = 4 * least
     near = lambda words, start, stop: F.substring(words, (4 * F.greatest(F.lit(0), start - margin)).cast("int") + 1, (4 * (stop - F.greatest(F.lit(0), start - margin) + margin)).cast("int"))
-    texts = held.select("row", "words", "doc_id")
     own = chains.join(texts, "row").select(*chains.columns, "doc_id", near(F.col("words"), F.col("start"), F.col("stop")).alias("own"))
     of = texts.select(F.col("row").alias("of_row"), F.col("doc_id").alias("of_doc_id"), "words")
     both = own.join(of, "of_row").select(*own.columns, "of_doc_id", near(F.col("words"), F.col("of_start"), F.col("of_stop")).alias("other"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "stop", "of_doc_id", "of_start", "of_stop", "agreeing", "row", "of_row")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "stop", "of_doc_id", "of_start", "of_stop", "agreeing", "row", "of_row", "exact")}
             for r in batch.to_pylist():
                 x, y = np.frombuffer(r["own"], np.uint32), np.frombuffer(r["other"], np.uint32)
                 dx, dy = max(0, r["start"] - margin), max(0, r["of_start"] - margin)
@@ -307,11 +409,12 @@ def passages(documents: DataFrame, least: int = LEAST, same: float = SAME) -> Da
                     path = [(p - dx - a, q - dy - c) for p, q in zip(r["path"][::2], r["path"][1::2])]
                     agreed = [(a + p, a + q, c + u, c + v, n) for p, q, u, v, n in parts(x[a:b], y[c:d], path, least, same)]
                 for a, b, c, d, n in agreed:
-                    for k, v in zip(out, (r["doc_id"], a + dx, b + dx, r["of_doc_id"], c + dy, d + dy, n, r["row"], r["of_row"])):
+                    for k, v in zip(out, (r["doc_id"], a + dx, b + dx, r["of_doc_id"], c + dy, d + dy, n, r["row"], r["of_row"], [{"start": p + a + dx, "stop": q + a + dx} for p, q in exact_runs(x[a:b], y[c:d], least)])):
                         out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
+            spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(v, spans if k == "exact" else pa.int64()) for k, v in out.items()], list(out))
 
-    schema = "doc_id long, start long, stop long, of_doc_id long, of_start long, of_stop long, agreeing long, row long, of_row long"
+    schema = "doc_id long, start long, stop long, of_doc_id long, of_start long, of_stop long, agreeing long, row long, of_row long, exact array<struct<start: long, stop: long>>"
     return stage(both.mapInArrow(align, schema), "passages")
 
 

@@ -296,3 +296,19 @@ def test_a_chain_that_fails_is_split(spark):
         [*b, *spread("e", 40), *spread("f", 60)], [*b, *spread("g", 40), *spread("f", 60)],
     ])
     assert got == [set(), set(range(60)), set(), {*range(60), *range(100, 160)}]
+
+
+def test_passages_whose_seeds_come_first_elsewhere(spark):
+    p, q, r = spread("p", 80), spread("q", 30), spread("r", 30)
+    texts = [p[:45], p[35:], [*q, *spread("s", 9)], [*r, *spread("t", 9)], p, [*spread("u", 7), *p], [*q, *r], [*spread("v", 5), *q, *r], [*p, *spread("z", 3)]]
+    assert caught(spark, texts) == by_runs(texts)
+
+
+def by_runs(texts):
+    """Of each text: the places in a run of LEAST words that comes before, by brute force."""
+    seen, out = set(), []
+    for w in texts:
+        runs = [tuple(w[k : k + substring.LEAST]) for k in range(len(w) - substring.LEAST + 1)]
+        out.append({k + j for k, run in enumerate(runs) if run in seen for j in range(substring.LEAST)})
+        seen.update(runs)
+    return out
