@@ -5,13 +5,12 @@ texts that share W + K - 1 words in a row share a seed). Every occurrence of a s
 matched with the seed's first occurrence only, so a passage in very many documents gives
 as many matches as it has occurrences, and no pairs. What repeats but is in no exact passage
 then is matched once more, by all its runs of LEAST words, with the first of each. The matches of two documents are
-chained in order, with a cost for gaps, through a Fenwick tree over the places in the
-first document; a chain is then aligned word by word, across its gaps and past its ends.
+chained in order, with a cost for gaps, from all matches in reach before each; a chain is
+then aligned word by word, across its gaps and past its ends.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,28 +71,6 @@ def smallest(hashed: np.ndarray) -> np.ndarray:
     return np.unique(at)
 
 
-class Fenwick:
-    """Largest value, and whose it is, of any prefix of the places."""
-
-    def __init__(self, n: int):
-        self.best: list[tuple[float, int]] = [(-np.inf, -1)] * (n + 1)
-
-    def put(self, at: int, value: float, whose: int) -> None:
-        at += 1
-        while at < len(self.best):
-            if value > self.best[at][0]:
-                self.best[at] = (value, whose)
-            at += at & -at
-
-    def upto(self, at: int) -> tuple[float, int]:
-        found = (-np.inf, -1)
-        while at > 0:
-            if self.best[at][0] > found[0]:
-                found = self.best[at]
-            at -= at & -at
-        return found
-
-
 def chain(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Chains of matches (x, y), as (first x, past last x, first y, past last y)."""
     return [(p[0][0], p[-1][0] + SEED, p[0][1], p[-1][1] + SEED) for p in paths(x, y)]
@@ -103,29 +80,28 @@ def paths(x: np.ndarray, y: np.ndarray) -> list[list[tuple[int, int]]]:
     """Chains of matches (x, y), each as its matches in order.
 
     The score of a chain ending in a match is the new words it covers, plus the best chain that
-    ends before it in both texts, less GAP_COST a word between them. That cost is a difference
-    of places, so the best is a prefix maximum over y in the order of x. A match that
-    is too far from that best one, or off its diagonal by too much, opens a chain.
+    ends before it in both texts and within GAP words, less GAP_COST a word between them and
+    DRIFT_COST a word off its diagonal. All those in reach are tried: a place of the first text
+    has one match, so they are at most GAP. A match that no chain is worth joining to opens one.
     """
     order = np.lexsort((y, x))
     x, y = x[order].tolist(), y[order].tolist()
-    rank = {v: k for k, v in enumerate(sorted(set(y)))}
-    places = sorted(rank)
-    tree = Fenwick(len(places))
-    score, start, before = [0.0] * len(x), list(range(len(x))), [-1] * len(x)
-    behind = 0
+    score, start, before = [float(SEED)] * len(x), list(range(len(x))), [-1] * len(x)
     last: dict[int, int] = {}
-    for k in range(len(x)):
-        while x[behind] < x[k]:  # only what lies strictly before in x
-            tree.put(rank[y[behind]], score[behind] + GAP_COST * (x[behind] + y[behind]), behind)
-            behind += 1
-        value, j = tree.upto(bisect.bisect_left(places, y[k]))
-        score[k] = float(SEED)
-        if j >= 0 and x[k] - x[j] <= GAP and y[k] - y[j] <= GAP:
-            drift = abs((x[k] - x[j]) - (y[k] - y[j]))
-            joined = score[j] + min(SEED, x[k] - x[j], y[k] - y[j]) - GAP_COST * max(0, x[k] - x[j] + y[k] - y[j] - 2 * SEED) - DRIFT_COST * drift
-            if joined > score[k]:
-                score[k], start[k], before[k] = joined, start[j], j
+    low = 0
+    for k, (at, there) in enumerate(zip(x, y)):
+        while x[low] < at - GAP:
+            low += 1
+        best = score[k]
+        for j in range(k - 1, low - 1, -1):
+            dx, dy = at - x[j], there - y[j]
+            if dx and 0 < dy <= GAP:
+                joined = score[j] + min(SEED, dx, dy) - GAP_COST * max(0, dx + dy - 2 * SEED) - DRIFT_COST * abs(dx - dy)
+                if joined > best:
+                    best, before[k] = joined, j
+        score[k] = best
+        if before[k] >= 0:
+            start[k] = start[before[k]]
         root = start[k]
         if root not in last or score[k] > score[last[root]]:
             last[root] = k

@@ -312,3 +312,34 @@ def by_runs(texts):
         out.append({k + j for k, run in enumerate(runs) if run in seen for j in range(substring.LEAST)})
         seen.update(runs)
     return out
+
+
+def best_chain(x, y):
+    """The best score by all pairs, with the limits inside the maximum."""
+    pts, score = sorted(zip(x, y)), []
+    for k, (a, b) in enumerate(pts):
+        steps = [(score[j], a - p, b - q) for j, (p, q) in enumerate(pts[:k]) if 0 < a - p <= substring.GAP and 0 < b - q <= substring.GAP]
+        score.append(max([float(substring.SEED), *(s + min(substring.SEED, d, e) - substring.GAP_COST * max(0, d + e - 2 * substring.SEED) - substring.DRIFT_COST * abs(d - e) for s, d, e in steps)]))
+    return score
+
+
+def path_score(path):
+    steps = [(c - a, d - b) for (a, b), (c, d) in zip(path, path[1:])]
+    return substring.SEED + sum(min(substring.SEED, d, e) - substring.GAP_COST * max(0, d + e - 2 * substring.SEED) - substring.DRIFT_COST * abs(d - e) for d, e in steps)
+
+
+def test_chains_are_the_best_within_the_limits():
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        x, y = np.sort(rng.choice(400, 40, False)), rng.choice(400, 40, False)
+        x, y = np.append(x, np.arange(500, 800, 8)), np.append(y, np.arange(500, 800, 8))  # and a long one, out of whose reach are others
+        x, y = np.append(x, 880 + np.arange(0, 70, 9)), np.append(y, 880 + np.arange(0, 70, 9))
+        got = substring.paths(x, y)
+        assert max(map(path_score, got)) == pytest.approx(max(best_chain(x, y)))
+        assert [(k, k) for k in range(880, 950, 9)] in got
+
+
+def test_a_fuzzy_passage_after_a_long_one(spark):
+    a, b, c = spread("a", 300), spread("b", 35), spread("c", 35)
+    texts = [[*a, *spread("d", 80), *b, *spread("e", 5), *c], [*a, *spread("f", 80), *b, *spread("g", 5), *c]]
+    assert caught(spark, texts) == [set(), {*range(300), *range(380, 455)}]
