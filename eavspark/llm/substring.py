@@ -35,8 +35,8 @@ RUN = 3
 def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the seeds: the smallest of each WINDOW hashed runs.
 
-    Where a seed comes again within LEAST words, as in a word said over and over, only its
-    first place there counts: no passage of that length fits between.
+    Where a seed comes again within LEAST words, as in a word said over and over, one place in
+    LEAST words counts.
     """
     if len(words) < SEED:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -47,13 +47,28 @@ def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fresh(hashed: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The places of ``at`` less those whose value came within LEAST words before."""
+    """The places of ``at`` less those whose value was kept within LEAST words before."""
     if not len(at):
         return at
     order = np.lexsort((at, hashed[at]))
     one, place = hashed[at[order]], at[order]
-    again = np.concatenate([[False], (one[1:] == one[:-1]) & (np.diff(place) < LEAST)])
-    return np.sort(place[~again])
+    again = (one[1:] == one[:-1]) & (np.diff(place) < LEAST)
+    if again.any():
+        keep = np.ones(len(at), bool)
+        values, places = one.tolist(), place.tolist()
+        kept = 0
+        for k in range(1, len(at)):
+            if values[k] == values[kept] and places[k] - places[kept] < LEAST:
+                keep[k] = False
+            else:
+                kept = k
+        place = place[keep]
+    return np.sort(place)
+
+
+def said_over(words: np.ndarray) -> bool:
+    """Whether a text repeats itself in less than SEED words, all along."""
+    return any(np.array_equal(words[k:], words[:-k]) for k in range(1, min(SEED, len(words))))
 
 
 def smallest(hashed: np.ndarray) -> np.ndarray:
@@ -371,11 +386,14 @@ def aligned(chains: DataFrame, texts: DataFrame, least: int, same: float) -> Dat
                 x, y = np.frombuffer(r["own"], np.uint32), np.frombuffer(r["other"], np.uint32)
                 dx, dy = max(0, r["start"] - margin), max(0, r["of_start"] - margin)
                 a, b, c, d = r["start"] - dx, r["stop"] - dx, r["of_start"] - dy, r["of_stop"] - dy
+                if r["row"] == r["of_row"] and said_over(x[a:b]):  # a word said over and over repeats no passage of its own document
+                    continue
                 left, left_of = extend(x[:a][::-1], y[:c][::-1])
                 right, right_of = extend(x[b:], y[d:])
                 a, c, b, d = a - left, c - left_of, b + right, d + right_of
-                if r["row"] == r["of_row"]:  # in one document the passage must not reach into itself
-                    c, d = min(c, a + dx - dy), min(d, a + dx - dy)
+                if r["row"] == r["of_row"] and d + dy > a + dx:  # in one document the passage must not reach into itself
+                    over = d + dy - a - dx
+                    b, d = b - over, d - over
                 if b - a < least or d <= c:
                     continue
                 n = agreeing(x[a:b], y[c:d])

@@ -343,3 +343,10 @@ def test_a_fuzzy_passage_after_a_long_one(spark):
     a, b, c = spread("a", 300), spread("b", 35), spread("c", 35)
     texts = [[*a, *spread("d", 80), *b, *spread("e", 5), *c], [*a, *spread("f", 80), *b, *spread("g", 5), *c]]
     assert caught(spark, texts) == [set(), {*range(300), *range(380, 455)}]
+
+
+def test_periodic_texts(spark):
+    line, again = spread("l", 30), ["again"] * 5000
+    got = caught(spark, [line * 100, line * 100, again, again])
+    # a passage of 50 words ends before it comes again in its own document, so from the third line on
+    assert got == [set(range(60, 3000)), set(range(3000)), set(), set(range(5000))]
