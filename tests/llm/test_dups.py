@@ -350,3 +350,15 @@ def test_periodic_texts(spark):
     got = caught(spark, [line * 100, line * 100, again, again])
     # a passage of 50 words ends before it comes again in its own document, so from the third line on
     assert got == [set(range(60, 3000)), set(range(3000)), set(), set(range(5000))]
+
+
+def test_seeds_of_changed_passages():
+    """Of passages of 60 words with every fifth changed at random, nearly all share a seed."""
+    rng, n = np.random.default_rng(7), 0
+    words = lambda k: rng.integers(0, 1 << 60, k).astype(np.uint64)
+    for _ in range(300):
+        a = words(60)
+        b = np.where(rng.random(60) < 0.2, words(60), a)
+        x, y = (set(substring.seeds(np.concatenate([words(40), side, words(40)]))[1].tolist()) for side in (a, b))
+        n += bool(x & y)
+    assert n > 0.93 * 300
