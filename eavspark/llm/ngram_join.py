@@ -28,6 +28,8 @@ from eavspark.llm.words import grams, mix, word_hashes
 
 WORDS, SIMILAR = 5, 0.8
 TREES, DEPTH, RECALL = 24, 8, 0.9995
+#: Sets of so many n-grams at most are compared by all 64 bits of them; in larger ones equal halves by chance don't matter.
+SMALL = 16
 
 
 def prefixes(similar: float = SIMILAR, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> list[int]:
@@ -52,7 +54,7 @@ def signature(shingles: np.ndarray, hashes: int) -> np.ndarray:
 
 
 def sets(documents: DataFrame, words: int, depths: list[int], depth: int, keep: str | None) -> DataFrame:
-    """row, doc_id, same (digest of the set), size, shingles (sorted 32-bit, as differences), keys (a tree's prefix each)."""
+    """row, doc_id, same (digest of the set), size, shingles (sorted 32-bit, as differences), full (64-bit, of a small set), keys (a tree's prefix each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.array([k for t, d in enumerate(depths) for k in range(t * depth, t * depth + d)])
@@ -61,23 +63,25 @@ def sets(documents: DataFrame, words: int, depths: list[int], depth: int, keep:
         for batch in batches:
             for part in range(0, batch.num_rows, 256):
                 rows = batch.slice(part, 256)
-                same, size, data, keys = [], [], [], []
+                same, size, data, full, keys = [], [], [], [], []
                 for text in rows["text"]:
-                    found = np.unique((grams(word_hashes(text.as_py()), words) >> np.uint64(32)).astype(np.uint32))
+                    whole = np.unique(grams(word_hashes(text.as_py()), words))
+                    found = np.unique((whole >> np.uint64(32)).astype(np.uint32))
                     raw = np.diff(found, prepend=np.uint32(0)).tobytes()
-                    size.append(len(found)), data.append(raw), same.append(hashlib.blake2b(raw, digest_size=16).digest())
+                    size.append(len(found)), data.append(raw), same.append(hashlib.blake2b(whole.tobytes(), digest_size=16).digest())
+                    full.append(whole.tobytes() if len(whole) <= SMALL else b"")
                     if len(found):
                         signed = signature(found, len(depths) * depth)[place]
                         keys.append(np.add.reduceat(mix(signed + salt), start).astype(np.int64).tolist())
                     else:
                         keys.append([])
                 yield pa.RecordBatch.from_arrays(
-                    [rows["doc_id"], rows["kept_key"], pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(data, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "kept_key", "same", "size", "shingles", "keys"],
+                    [rows["doc_id"], rows["kept_key"], pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(data, pa.binary()), pa.array(full, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "kept_key", "same", "size", "shingles", "full", "keys"],
                 )
 
     found = documents.select(F.col("doc_id").cast("long"), (F.col(keep) if keep else F.lit(0)).cast("long").alias("kept_key"), "text")
-    found = found.mapInArrow(run, "doc_id long, kept_key long, same binary, size long, shingles binary, keys array<long>")
+    found = found.mapInArrow(run, "doc_id long, kept_key long, same binary, size long, shingles binary, full binary, keys array<long>")
     return stage(found.withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
@@ -124,7 +128,7 @@ def links(documents: DataFrame, words: int = WORDS, similar: float = SIMILAR, re
     firsts = members.groupBy("tree", "key").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
     meets = members.join(firsts, ["tree", "key"]).where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
     groups = components(meets)
-    held = groups.join(all_sets.select("row", "size", "shingles"), F.col("node") == F.col("row")).join(only, "row").select("component", "row", "size", "same", "shingles")
+    held = groups.join(all_sets.select("row", "size", "shingles", "full"), F.col("node") == F.col("row")).join(only, "row").select("component", "row", "size", "same", "shingles", "full")
     dealt = block_pairs(held, "component", "size", "row")
 
     def compare(t: pa.Table) -> pa.Table | None:
@@ -133,6 +137,12 @@ def links(documents: DataFrame, words: int = WORDS, similar: float = SIMILAR, re
         what = np.concatenate([np.cumsum(np.frombuffer(x.as_buffer(), np.uint32), dtype=np.uint32) for x in t["shingles"]])
         common = shared_counts(np.repeat(np.arange(n), size), what, n)
         linked = common >= similar * (size[:, None] + size[None, :] - common) - 1e-9
+        whole = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["full"]]
+        small = np.flatnonzero([len(x) > 0 for x in whole])
+        if len(small):
+            n_of = np.array([len(whole[k]) for k in small])
+            both = shared_counts(np.repeat(np.arange(len(small)), n_of), np.concatenate([whole[k] for k in small]), len(small))
+            linked[np.ix_(small, small)] = both >= similar * (n_of[:, None] + n_of[None, :] - both) - 1e-9
         np.fill_diagonal(linked, False)
         if t["_i"][0].as_py() != t["_j"][0].as_py():
             linked &= block[:, None] != block[None, :]

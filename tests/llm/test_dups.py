@@ -362,3 +362,14 @@ def test_seeds_of_changed_passages():
         x, y = (set(substring.seeds(np.concatenate([words(40), side, words(40)]))[1].tolist()) for side in (a, b))
         n += bool(x & y)
     assert n > 0.93 * 300
+
+
+def test_short_texts_that_share_half_a_hash(spark):
+    texts = [f"word{k}" for k in range(400_000)]
+    half = np.array([grams(word_hashes(w), 5)[0] >> np.uint64(32) for w in texts])
+    order = np.argsort(half, kind="stable")
+    at = np.flatnonzero(np.diff(half[order]) == 0)[:3]
+    rows = [(k, texts[order[j]]) for k, j in enumerate(np.concatenate([at, at + 1]).tolist())]
+    assert len(rows) == 6
+    got = ngram_join.classes(spark.createDataFrame([(k, t, *REST) for k, t in rows], SCHEMA)).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links, r.kept) for r in got) == [(k, k, 0, True) for k in range(6)]
