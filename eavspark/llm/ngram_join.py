@@ -1,10 +1,11 @@
 """Near-duplicate documents by the Jaccard similarity of their word n-grams.
 
-MinHash signatures are laid into an LSH forest: each tree sorts the documents by its own
-run of hashes, and documents that share a prefix of the run are neighbours in its trie.
-Prefixes start at full depth and are shortened, one tree at a time, until a pair at the
-threshold is met with the target probability. What meets is verified by the n-grams
-themselves, exactly.
+MinHash signatures are cut into bands: each of TREES runs of hashes is matched by a prefix of
+fixed depth, and documents that share it meet. The depths come from a formula, before any
+data is seen: from full depth, they are shortened one run at a time until a pair at the
+threshold is met with the target probability. This is banded LSH and stands in for an LSH
+forest, whose tries would let each document shorten its prefixes by what it meets. What meets
+is verified by the n-grams themselves, exactly.
 
 Equal sets of n-grams are one row throughout. Candidates are never listed as pairs: a
 prefix links its members to the first of them, the groups which that gives are compared
