@@ -22,8 +22,12 @@ from eavspark.llm.shared import crc_mod4, ship
 
 #: Dimensions of a vector.
 DIMENSIONS = 1 << 13
-#: Documents a language that the model is fitted on, at most; chosen by a hash of their id.
+#: Documents a language that the model is fitted on, at most; chosen by a hash of their id and text.
 SAMPLE = 250
+#: Languages that are learned, at most; the most frequent ones.
+LANGUAGES = 400
+#: Parts into which each language's documents are dealt by that hash; each gives as many.
+PARTS = 10
 #: Centroids a language.
 CENTROIDS = 4
 #: A text is rejected below this part of the least cosine that training texts of its length had.
@@ -94,15 +98,20 @@ def clusters(x: np.ndarray, k: int, seed: int = 7, rounds: int = 12) -> np.ndarr
 def fit(documents: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model | None:
     """Learn from text and non-null lang of the documents whose fold isn't held out.
 
-    The sample is ``sample`` documents of each language, in the order of a hash of their
-    id. Their n-gram counts, of fixed size, come to the driver. None if there is nothing
-    to learn from.
+    The sample is ``sample`` documents at most of each of the LANGUAGES most frequent languages: PARTS
+    parts of a language each give their first by a hash, so no task has to order all rows of a language,
+    and each task sends only its first. Their n-gram counts, of fixed size, come to the driver;
+    rows of one id and text are one. None if there is nothing to learn from.
     """
     ship(documents.sparkSession)
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod4(F.col("doc_id")) != 2))
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(by)).where(F.col("n") <= sample)
-    chosen = known.join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
+    known = known.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    frequent = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    by = Window.partitionBy("lang", "part").orderBy("h", "doc_id")
+    ids = known.where(F.col("lang").isin([r.lang for r in frequent.select("lang").collect()])).select("lang", "h", "doc_id", F.pmod("h", F.lit(PARTS)).alias("part"))
+    ids = ids.withColumn("n", F.row_number().over(by)).where(F.col("n") <= -(-sample // PARTS)).select("lang", "h", "doc_id")
+    # at most sample * LANGUAGES small rows
+    chosen = known.join(F.broadcast(ids), ["lang", "h", "doc_id"], "left_semi").dropDuplicates(["lang", "h", "doc_id"]).select("doc_id", "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,15 +163,15 @@ def fit(documents: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS)
     return model
 
 
-def identify(documents: DataFrame, model: Model | None) -> DataFrame:
-    """Add lang_pred, score and rejected to every row, from its whole text alone.
+def identify(documents: DataFrame, model: Model | None, names: list[str] = ["lang_pred", "score", "rejected"]) -> DataFrame:
+    """Add a language, a score and whether it is rejected to every row, under ``names``, from its whole text alone.
 
     A text which is null or has no letter is ``und``, score 0, rejected; without a model
     so is every text. A text of any length is scored whole. Columns of these names in
     ``documents`` are replaced; others stay as they are.
     """
-    kept = documents.drop("lang_pred", "score", "rejected")
-    schema = StructType([*kept.schema.fields]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    kept = documents.drop(*names)
+    schema = StructType([*kept.schema.fields]).add(names[0], "string").add(names[1], "double").add(names[2], "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +186,7 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
                     score[some], reject[some] = cosine, cosine < model.least[model.bins(x)]
                     for k, j in zip(some, of):
                         lang[k] = model.languages[j]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(reject)], [*rows.schema.names, "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(reject)], [*rows.schema.names, *names])
 
     return kept.mapInArrow(run, schema)
 

@@ -7,9 +7,9 @@ as a table in the shared folder, so a lost executor costs only a re-read.
 
 from __future__ import annotations
 
-import os
+import contextlib
+import gc
 import shutil
-import sysconfig
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,25 +23,26 @@ from pyspark.sql import functions as F
 import eavspark
 
 
+def one_machine(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return spark.sparkContext.master.partition("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset and there are no other machines."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not one_machine(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once, where they would not find it by themselves.
-
-    They find it where it is installed, or where its folder is on PYTHONPATH or the working folder.
-    """
-    package = Path(eavspark.__file__).parent
-    if str(package.parent) in {os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep), sysconfig.get_path("purelib")}:
-        return
-    context = spark.sparkContext
-    if context.applicationId not in SHIPPED:
+    """Send this package to the executors, once an application, if they are other processes."""
+    package, context = Path(eavspark.__file__).parent, spark.sparkContext
+    if not one_machine(spark) and context.applicationId not in SHIPPED:
         SHIPPED.add(context.applicationId)
         context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name))
 
@@ -63,8 +64,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def clear(spark: SparkSession) -> None:
     """Delete all folders that this process has made, once no DataFrame that reads them is needed."""
     while MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(MADE.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, MADE.pop())
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -74,12 +74,45 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a staged table which nothing reads any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete staged tables which nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            delete(spark, str(spark._jvm.org.apache.hadoop.fs.Path(file).getParent()))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to: it does so as the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+@contextlib.contextmanager
+def step(spark: SparkSession, left: list[str]) -> Iterator[None]:
+    """Delete the folders named in ``left``, those of the step before, and name those of this one there.
+
+    For steps each of whose results is written before the next begins.
+    """
+    while left:
+        delete(spark, left.pop())
+    release(spark)
+    known = len(MADE)
+    yield
+    left += MADE[known:]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:
@@ -190,6 +223,37 @@ def map_groups(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def map_tables(df: DataFrame, keys: list[str], fn, schema: str, order: list[str] = []) -> DataFrame:
+    """Apply ``fn(table) -> table`` to rows that are sorted by ``keys``, many keys at a time and each of them whole.
+
+    For what is worked out for all groups of a batch at once. A task holds one batch and one group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            last = int(boundaries(table, keys)[-1])
+            same = last == 0 and held and all(held[-1][k][-1].as_py() == table[k][0].as_py() for k in keys)
+            if held and not same:
+                yield from out([*held, table.slice(0, last)])
+                held = []
+            elif not held and last:
+                yield from out([table.slice(0, last)])
+            held.append(table.slice(last))
+        if held:
+            yield from out(held)
+
+    def out(held):
+        found = fn(pa.concat_tables(held).combine_chunks())
+        if found is not None and found.num_rows:
+            yield from found.to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def boundaries(table: pa.Table, keys: list[str]) -> np.ndarray:
     """Row numbers at which a new key begins, the first included; keys are not null."""
     new = np.zeros(table.num_rows, bool)
