@@ -3,12 +3,13 @@
 A vector is turned by pseudo-random rotations (sign flips and fast Hadamard transforms,
 three times over); its hash is the axis it then lies closest to, with the sign. Each
 table joins several such hashes into a bucket, and a vector is looked up in the buckets
-of its next-best axes as well. Vectors that meet are compared exactly, in double
-precision.
+of its next-best axes as well. What meets is linked if sketches of 256 bits, sides of random hyperplanes, allow a
+pair at the bound; only what is linked so sends its vector, and is compared exactly, in double precision.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eavspark.llm.shared import block_pairs, components, map_groups, stage
+from eavspark.llm.shared import block_pairs, components, drop, map_groups, plausible, release, stage
 
 LINKED = 0.98
-#: Tables; hashes in a bucket; further buckets that are looked up in each table.
-TABLES, HASHES, PROBES = 10, 2, 3
+#: The part of pairs at the bound that meet in a bucket; further buckets that are looked up in each table.
+RECALL, PROBES = 0.99999, 1
+#: Bits of a sketch, each the side of a random hyperplane. Pairs at the bound differ in so many standard deviations more than expected at most.
+BITS, SPREAD = 256, 6
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -34,16 +37,47 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
+def padded(dim: int) -> int:
+    """A power of two; at least 64, as shorter vectors have too few rotations that differ."""
+    return 1 << max(6, int(np.ceil(np.log2(max(2, dim)))))
+
+
 def signs(dim: int, tables: int, hashes: int) -> np.ndarray:
     return np.random.default_rng(20240607).choice([-1.0, 1.0], (tables, hashes, 3, dim))
 
 
-def buckets(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
-    """For unit rows: (rows, tables, 1 + probes) bucket numbers, a vector's own first.
+@functools.cache
+def settings(rows: int, dim: int, least: float = LINKED, recall: float = RECALL, probes: int = PROBES) -> tuple[int, int]:
+    """Tables, and hashes in a bucket.
+
+    As many hashes as make more buckets than there are rows, so that a bucket doesn't grow with them; then as many
+    tables as the recall asks for, by the part of 2000 random pairs at the bound that meet in a table.
+    """
+    dim = padded(dim)
+    hashes = min(max(2, int(np.ceil(np.log(max(2, rows)) / np.log(2 * dim)))), 62 // int(np.log2(2 * dim)))
+    rng = np.random.default_rng(11)
+    x, z = rng.standard_normal((2, 2000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = least * x + np.sqrt(1 - least * least) * z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    a, b = buckets(x, 4, hashes, probes)[0], buckets(y, 4, hashes, probes)[0]
+    meets = (a[:, :, :1] == b).any(2) | (b[:, :, :1] == a).any(2)
+    return max(2, int(np.ceil(np.log(1 - recall) / np.log(1 - min(meets.mean(), 0.9999))))), hashes
+
+
+def near_bits(least: float = LINKED) -> int:
+    """Bits in which the sketches of a pair at the bound differ at most."""
+    p = np.arccos(least) / np.pi
+    return int(np.ceil(BITS * p + SPREAD * np.sqrt(BITS * p * (1 - p))))
+
+
+def buckets(x: np.ndarray, tables: int, hashes: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """For unit rows: (rows, tables, 1 + probes) bucket numbers, a vector's own first; and sketches of BITS bits as longs.
 
-    A probe changes one hash to the axis next in size; the cheapest changes come first.
+    A probe changes one hash to the axis next in size; the cheapest changes come first. Bits of a sketch are
+    independent of each other, so those in which two vectors differ are as many as a binomial says.
     """
-    dim = 1 << max(1, int(np.ceil(np.log2(max(2, x.shape[1])))))
+    dim = padded(x.shape[1])
     x = np.pad(x, ((0, 0), (0, dim - x.shape[1])))
     flips = signs(dim, tables, hashes)
     out = np.zeros((len(x), tables, 1 + probes), np.int64)
@@ -65,40 +99,42 @@ def buckets(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
         changed = np.concatenate([own[:, None] + (a - b[:, None]) * (2 * dim) ** k for k, (a, b) in enumerate(zip(axes, best))], axis=1)
         cheap = np.argsort(np.concatenate(losses, axis=1), axis=1, kind="stable")[:, :probes]
         out[:, t, 1:] = changed[rows[:, None], cheap]
-    return out
+    sides = x @ np.random.default_rng(99).standard_normal((dim, BITS)) > 0
+    return out, np.packbits(sides, axis=1).view(np.int64)
 
 
-def links(vectors: DataFrame, least: float = LINKED, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Copies, counts and edges of the links between distinct vectors of one label.
+def links(vectors: DataFrame, least: float = LINKED, recall: float = RECALL, probes: int = PROBES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Copies, counts and edges of the links between distinct vectors of one label, by row.
 
-    copies: (vec_id, rep, same) for every usable row, rep the smallest vec_id of those with
-    the same label and components, same how many they are. counts: (rep, n), the rows
+    copies: (row, vec_id, rep, same) for every row; rep the first row with
+    the same label and components, same how many those are; an unusable row has no rep. counts: (rep, n), the rows
     linked to a rep besides its copies. edges: (a, b) that connect each group of links.
     """
-    spark = vectors.sparkSession
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Usable vectors, as little-endian doubles; of length one, so zero and broken ones go."""
+        """Vectors as little-endian doubles, and those of length one; null where they can't link."""
         for batch in batches:
-            ids, labels, raw, units = [], [], [], []
-            for vec_id, label, v in zip(batch["vec_id"].to_pylist(), batch["label"].to_pylist(), batch["embedding"]):
-                if v.as_py() is None or label is None or vec_id is None or v.values.null_count:
+            raw, units = [], []
+            for label, v in zip(batch["label"], batch["embedding"]):
+                raw.append(None), units.append(None)
+                if v.as_py() is None or not label.is_valid or v.values.null_count:
                     continue
                 x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 with np.errstate(over="ignore"):
                     size = np.linalg.norm(x / big) * big if (big := np.abs(x).max(initial=0)) and np.isfinite(big) else 0
                 if size and np.isfinite(size):
-                    ids.append(vec_id), labels.append(label), raw.append((x + 0.0).tobytes()), units.append((x / big / np.linalg.norm(x / big)).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(labels, pa.int64()), pa.array(raw, pa.binary()), pa.array(units, pa.binary())], ["vec_id", "label", "raw", "unit"]
-            )
-
-    usable = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding").mapInArrow(unit, "vec_id long, label long, raw binary, unit binary")
-    usable = stage(usable.withColumn("same_as", F.sha2("raw", 256)), "vectors")
-    reps = usable.groupBy("label", "same_as").agg(F.min("vec_id").alias("rep"), F.count("*").alias("same"))
-    copies = stage(usable.select("vec_id", "label", "same_as").join(reps, ["label", "same_as"]).select("vec_id", "rep", "same"), "copies")
-    # one row a rep; rows that repeat its id and vector are its copies
-    distinct = usable.join(reps, ["label", "same_as"]).where("vec_id = rep").dropDuplicates(["label", "same_as"]).select("label", "rep", "same", "unit")
+                    raw[-1], units[-1] = (x + 0.0).tobytes(), (x / big / np.linalg.norm(x / big)).tobytes()
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["label"], pa.array(raw, pa.binary()), pa.array(units, pa.binary())], ["vec_id", "label", "raw", "unit"])
+
+    usable = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding").mapInArrow(unit, "vec_id long, label string, raw binary, unit binary")
+    usable = stage(usable.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.xxhash64("label").alias("label"), F.sha2(F.concat(F.encode("label", "UTF-8"), F.lit(b"\0"), "raw"), 256).alias("same_as"), "unit"), "vectors")
+    slim = usable.select("row", "vec_id", "same_as")
+    reps = slim.where("same_as IS NOT NULL").groupBy("same_as").agg(F.min("row").alias("rep"), F.count("*").alias("same"))
+    copies = stage(slim.join(reps, "same_as", "left").select("row", "vec_id", "rep", "same"), "copies")
+    only = copies.where("row = rep").select("row", "same")
+    distinct = usable.join(only, "row").select(F.col("row").alias("node"), "label", "same", "unit")
+    size = distinct.agg(F.count("*"), F.max(F.octet_length("unit"))).first()
+    tables, hashes = settings(size[0], (size[1] or 16) // 8, least, recall, probes)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,77 +143,57 @@ def links(vectors: DataFrame, least: float = LINKED, tables: int = TABLES, hashe
                 units = [np.frombuffer(x.as_buffer()) for x in rows["unit"]]
                 for dim in sorted({len(x) for x in units}):
                     at = np.array([k for k, x in enumerate(units) if len(x) == dim])
-                    own = buckets(np.stack([units[k] for k in at]), tables, hashes, probes)
+                    own, sketch = buckets(np.stack([units[k] for k in at]), tables, hashes, probes)
                     some = rows.take(pa.array(at))
-                    label = some["label"].to_numpy()
-                    n, per = len(at), 1 + probes
                     # a bucket's key: label, dimensions, table, number; mixed to 64 bits, and always checked by vectors
                     key = own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (np.arange(tables, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))[None, :, None]
-                    key ^= (label.astype(np.uint64) * np.uint64(0x165667B19E3779F9) + np.uint64(dim))[:, None, None]
+                    key ^= (some["label"].to_numpy().astype(np.uint64) * np.uint64(0x165667B19E3779F9) + np.uint64(dim))[:, None, None]
                     key ^= key >> np.uint64(31)
                     key = (key * np.uint64(0xBF58476D1CE4E5B9)).astype(np.int64)
-                    every = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * tables * per, pa.int32()), pa.array(key.reshape(-1)))
-                    take = np.repeat(np.arange(n), tables * per)
-                    wide = some.take(pa.array(take))
+                    ends = pa.array(np.arange(len(at) + 1) * tables * (1 + probes), pa.int32())
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(key.reshape(-1)), pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), per), n)), pa.array(np.tile(np.arange(per) > 0, n * tables)),
-                            wide["label"], wide["rep"], wide["same"], wide["unit"], every.take(pa.array(take)),
-                        ],
-                        ["key", "table", "probe", "label", "rep", "same", "unit", "every"],
-                    )
-
-    schema = "key long, table int, probe boolean, label long, rep long, same long, unit binary, every array<long>"
-    members = stage(distinct.mapInArrow(hashed, schema).withColumn("weight", F.lit(64).cast("long")), "buckets")
-    dealt = block_pairs(members, "key", "weight", "rep")
-    per = 1 + probes
+                        [some["node"], pa.ListArray.from_arrays(ends, pa.array(key.reshape(-1))), pa.array(sketch.tolist(), pa.list_(pa.int64()))], ["node", "keys", "sketch"]
+                    )
+
+    found = stage(distinct.select("node", "label", "unit").mapInArrow(hashed, "node long, keys array<long>, sketch array<long>"), "buckets")
+    met = plausible(found.select(F.explode("keys").alias("key"), "node"), found.select("node", "sketch"), near_bits(least))
+    groups = components(met)
+    held = groups.join(distinct, "node").withColumn("weight", F.octet_length("unit").cast("long"))
+    dealt = block_pairs(held, "component", "weight", "node", most_weight=1 << 23)
 
     def compare(t: pa.Table) -> pa.Table | None:
-        """Links within one pair of blocks of a bucket, each counted in the first table where its ends meet."""
-        i, block = t["_i"][0].as_py(), t["_block"].to_numpy()
-        split = i != t["_j"][0].as_py()
-        rep, label, probe, same = (t[c].to_numpy(zero_copy_only=False) for c in ("rep", "label", "probe", "same"))
-        table = t["table"][0].as_py()
-        width = np.array([len(x) for x in t["unit"].to_pylist()])
-        every = t["every"].combine_chunks().values.to_numpy().reshape(len(rep), -1, per)
+        """Links within one pair of blocks of a component."""
+        rep, label, same, block = (t[c].to_numpy() for c in ("node", "label", "same", "_block"))
+        split = t["_i"][0].as_py() != t["_j"][0].as_py()
+        units = [np.frombuffer(x.as_buffer()) for x in t["unit"]]
+        width = np.array([len(x) for x in units])
         found_a, found_b = [], []
-        for k in np.unique(label):
-            for w in np.unique(width[label == k]):
-                at = np.flatnonzero((label == k) & (width == w))
-                x = np.stack([np.frombuffer(t["unit"][int(j)].as_buffer()) for j in at])
-                for low in range(0, len(at), 512):
-                    a, b = np.nonzero(x[low : low + 512] @ x.T >= least - 1e-9)
-                    a = a + low
-                    fine = (rep[at[a]] < rep[at[b]]) & ~(probe[at[a]] & probe[at[b]])
-                    if split:
-                        fine &= block[at[a]] != block[at[b]]
-                    a, b = a[fine], b[fine]
-                    # the product of a matrix sums in any order: what is close to the bound is summed again
-                    exact = np.einsum("ij,ij->i", x[a], x[b]) >= least
-                    found_a.append(at[a[exact]]), found_b.append(at[b[exact]])
-        if not found_a or not (n := sum(map(len, found_a))):
-            return None
+        for k, w in sorted({*zip(label.tolist(), width.tolist())}):
+            at = np.flatnonzero((label == k) & (width == w))
+            x = np.stack([units[j] for j in at])
+            for low in range(0, len(at), 512):
+                a, b = np.nonzero(x[low : low + 512] @ x.T >= least - 1e-9)
+                a = a + low
+                fine = a < b
+                if split:
+                    fine &= block[at[a]] != block[at[b]]
+                a, b = a[fine], b[fine]
+                # the product of a matrix sums in any order: what is close to the bound is summed again
+                exact = np.einsum("ij,ij->i", x[a], x[b]) >= least
+                found_a.append(at[a[exact]]), found_b.append(at[b[exact]])
         a, b = np.concatenate(found_a), np.concatenate(found_b)
-        # A pair may meet here as (own, own), (own, probe) or (probe, own): the first of these counts.
-        kind = probe[a] * 1 + probe[b] * 2
-        first = np.ones(n, bool)
-        for s in range(table + 1):
-            own_a, own_b = every[a, s, 0], every[b, s, 0]
-            meets = np.stack([own_a == own_b, (every[a, s, 1:] == own_b[:, None]).any(1), (every[b, s, 1:] == own_a[:, None]).any(1)])
-            first &= ~meets.any(0) if s < table else ~((kind > 0) & meets[0] | (kind == 2) & meets[1])
-        a, b = a[first], b[first]
         if not len(a):
             return None
-        ids = np.concatenate([rep[a], rep[b]])
-        n_other = np.concatenate([same[b], same[a]])
-        nodes, place = np.unique(ids, return_inverse=True)
-        total = np.bincount(place, n_other).astype(np.int64)
+        nodes, place = np.unique(np.concatenate([rep[a], rep[b]]), return_inverse=True)
+        total = np.bincount(place, np.concatenate([same[b], same[a]])).astype(np.int64)
         root = roots(len(nodes), place[: len(a)], place[len(a) :])
         return pa.table({"rep": nodes, "n": total, "to": nodes[root]})
 
-    found = stage(map_groups(dealt, ["key", "_i", "_j"], compare, "rep long, n long, to long"), "links")
-    counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    return copies, counts, found.select(F.col("rep").alias("a"), F.col("to").alias("b"))
+    verified = stage(map_groups(dealt, ["component", "_i", "_j"], compare, "rep long, n long, to long"), "links")
+    drop(found, met, usable)
+    release(vectors.sparkSession)
+    counts = verified.groupBy("rep").agg(F.sum("n").alias("n"))
+    return copies, counts, verified.select(F.col("rep").alias("a"), F.col("to").alias("b"))
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -201,19 +217,14 @@ def dedup(vectors: DataFrame, least: float = LINKED) -> DataFrame:
     precision, is at least ``least``. Null and zero vectors, and those with a null or
     non-finite component, link with nothing, nor do vectors of different length.
     Equal vectors are one row in the search, and their links are multiplied after it.
-    Repeated vec_ids are joined into one component; a null vec_id is kept, alone.
+    Rows of one vec_id are vectors of their own, each with its own links and component; a null vec_id comes after all
+    others, and a component of nothing else has a null id. kept is true where vec_id is component_id, both null included.
     Other columns are ignored; an empty table gives an empty result.
     """
     copies, counts, edges = links(vectors, least)
     of = components(edges)
-    linked = copies.join(counts, "rep", "left").join(of, F.col("rep") == F.col("node"), "left").select(
-        "vec_id", (F.col("same") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
-    )
-    unusable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("row"))
-    # usable rows of one id share their figures; an id without usable rows is alone
-    linked = linked.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = unusable.join(linked, "vec_id", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept")
-    )
+    linked = copies.join(counts, "rep", "left").join(of, F.col("rep") == F.col("node"), "left")
+    linked = linked.select("row", "vec_id", (F.coalesce(F.col("same") - 1, F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "rep", "row").alias("component"))
+    # sums up on the map side, so a large component arrives once from each task
+    first = linked.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    return linked.join(first, "component").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

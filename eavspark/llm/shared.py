@@ -174,6 +174,37 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     )
 
 
+def plausible(members: DataFrame, sketches: DataFrame, near: int, rounds: int = 8) -> DataFrame:
+    """Links (a, b) such that any two members of one key whose sketches are ``near`` bits apart, or less, are connected.
+
+    ``members`` has long columns key and node, ``sketches`` node and an array of longs. The members of a key are
+    compared with its least one, its leader: those within ``near`` join it and are done, those within twice that are linked
+    with it, and the others go on without it. Of two that are near each other, one joins a leader
+    and the other is then within twice ``near`` of that, so no pair is lost; nor does a key link what has little in
+    common. Work is linear in the rows, and a hot key is one minimum and one join. What is still left
+    after ``rounds`` is linked with its leader unseen, so that rounds are bounded; such links are more than needed, never fewer.
+    """
+    other = sketches.select(F.col("node").alias("first"), F.col("sketch").alias("of"))
+    apart = F.aggregate(F.zip_with("sketch", "of", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    left, found, made = members, None, []
+    for k in range(rounds + 1):
+        firsts = left.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+        pairs = stage(left.join(firsts, "key").where("node <> first").select("key", "node", "first"), "pairs")
+        made.append(pairs)
+        links = pairs.select("node", "first")
+        if k < rounds:
+            judged = stage(links.distinct().join(sketches, "node").join(other, "first").select("node", "first", apart.alias("apart")), "judged")
+            made.append(judged)
+            links = judged.where(F.col("apart") <= 2 * near).select("node", "first")
+        found = links if found is None else found.unionByName(links)
+        if k == rounds or judged.where(F.col("apart") > near).isEmpty():
+            break
+        left = pairs.join(judged.where(F.col("apart") > near).select("node", "first"), ["node", "first"]).select("key", "node")
+    out = stage(found.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "plausible")
+    drop(*made)
+    return out
+
+
 def block_pairs(df: DataFrame, key: str, weight: str, row: str, most_rows: int = 1024, most_weight: int = 1 << 21) -> DataFrame:
     """Deal the rows of each group so that every pair of a group meets in one bounded task.
 

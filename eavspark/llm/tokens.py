@@ -1,27 +1,31 @@
 """Token ids by the tokenizers library, at the speed of a dictionary.
 
 Both vocabularies split a text into pieces whose ids don't depend on their
-neighbours, so each piece is encoded by the library once and then looked up. Texts
+neighbours, so each piece goes to the library's merges once and is then looked up. Texts
 with characters outside ``PLAIN``, where the library's tables and Python's could
-differ, and texts with unusual runs of blanks go to the library whole.
+differ, and texts that hold a special token's name go to the library whole.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import struct
 
 import numpy as np
 
-#: Characters for which splitting here and in the library are the same by construction.
-ODD = re.compile(r"[^\t\n\r\x20-\x7e¡-ɏ]")
-#: A blank between blanks: where a cut before every blank would not be one of the library's.
-RUNS = re.compile(r"\s (?:\s|\Z)")
-LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
-#: Cached texts; a full cache starts anew, which costs time only.
-MOST = 600_000
+#: Characters for which splitting, lowering and composing here and in the library are the same by construction:
+#: up to the end of Latin Extended-A, without controls and the one letter that lowers to two characters.
+ODD = re.compile(r"[^\t\n\r\x20-\x7e¡-įı-ſ]")
+LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
+#: How the vocabularies split, by the pattern in their files: the byte-level one, and the one for lower-case words.
+BYTE_SPLIT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
+WORD_SPLIT = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Cached pieces, and the longest that are cached; a full cache starts anew, which costs time only.
+MOST, LONGEST = 1_000_000, 64
 
 
 def byte_letters() -> dict[int, int]:
@@ -39,82 +43,64 @@ BLANK = chr(LETTERS[32])
 
 
 class Ids(dict):
-    """A text between blanks, after ``before``, to its ids as little-endian 16-bit bytes.
+    """A piece to its ids, as little-endian 16-bit bytes."""
 
-    A text of letters is one piece, and goes straight to the library's merges, past its
-    splitting. Others are split; their pieces of letters are looked up here as well, and
-    what is left (marks, numbers, blanks) in ``rest``.
-    """
-
-    def __init__(self, tokenizer, split, before: str = ""):
-        self.merges, self.split, self.before = tokenizer.model.tokenize, split, before
-        self.rest: dict[str, bytes] = {}
+    def __init__(self, tokenizer):
+        self.merges = tokenizer.model.tokenize
 
-    def piece(self, text: str) -> bytes:
-        if text.isascii() and text.isprintable():
-            letters = text.replace(" ", BLANK)
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            letters = piece.replace(" ", BLANK)
         else:
-            letters = text.encode().decode("latin-1").translate(LETTERS)
+            letters = piece.encode().decode("latin-1").translate(LETTERS)
         found = [t.id for t in self.merges(letters)]
-        return struct.pack(f"<{len(found)}H", *found)
-
-    def other(self, piece: str) -> bytes:
-        if piece not in self.rest:
-            if len(self.rest) >= MOST // 4:
-                self.rest.clear()
-            self.rest[piece] = self.piece(piece)
-        return self.rest[piece]
-
-    def __missing__(self, text: str) -> bytes:
-        if len(self) >= MOST:
-            self.clear()
-        before, n = self.before, len(self.before)
-        if text.isalpha():
-            ids = self.piece(before + text)
-        else:
-            ids = b"".join([self[p[n:]] if p.startswith(before) and p[n:].isalpha() else self.other(p) for p in self.split(before + text)])
-        self[text] = ids
+        ids = struct.pack(f"<{len(found)}H", *found)
+        if len(piece) <= LONGEST:
+            if len(self) >= MOST:
+                self.clear()
+            self[piece] = ids
         return ids
 
 
+def kind(path: str) -> str | None:
+    """``byte`` or ``word`` by a vocabulary file's own normaliser and splitter; None for any other."""
+    with open(path) as f:
+        held = json.load(f)
+    model, before, split = held["model"], held["normalizer"], held["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    if plain and before is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]:
+        return "byte"
+    steps, parts = [x["type"] for x in (before or {}).get("normalizers", [])], split.get("pretokenizers", [])
+    if plain and steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in parts] == ["Split", "ByteLevel"]:
+        if parts[0]["pattern"].get("Regex") == WORD_PATTERN and parts[0]["invert"] and parts[0]["behavior"] == "Removed" and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"]:
+            return "word"
+    return None
+
+
 @functools.lru_cache(maxsize=4)
 def encoder(path: str):
     """``encode(text) -> bytes`` (little-endian 16-bit ids) for a vocabulary file; one a worker.
 
-    The text's own copies of special tokens are ordinary text.
+    The ids are those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``, which
+    takes a special token's name in a text for that token.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     if tokenizer.get_vocab_size() > 1 << 16:
         raise ValueError("ids of more than 16 bits are not supported")
+    named = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or r"(?!)", re.IGNORECASE)
+    quick = {t.content[:1] for t in tokenizer.get_added_tokens_decoder().values()}
+    quick = quick.pop() if len(quick) == 1 and quick <= {*"<[|"} else ""
+    cache, of = Ids(tokenizer), kind(path)
+    look, byte, word = cache.__getitem__, BYTE_SPLIT.findall, WORD_SPLIT.findall
 
-    def whole(text):
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-
-    if path.endswith("word_bpe_49k.json"):
-        split = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+").findall
-        cache = Ids(tokenizer, split)
-
-        def encode(text):
-            if ODD.search(text):
-                return whole(text)
-            return b"".join(map(cache.__getitem__, text.lower().split()))
-
-    elif path.endswith("byte_bpe_50k.json"):
-        split = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+").findall
-        cache, inner = Ids(tokenizer, split), Ids(tokenizer, split, " ")
-
-        def encode(text):
-            if ODD.search(text) or RUNS.search(text):
-                return whole(text)
-            first, *rest = text.split(" ")
-            return (cache[first] if first else b"") + b"".join(map(inner.__getitem__, rest))
+    def encode(text: str) -> bytes:
+        if of is None or ODD.search(text) or quick in text and named.search(text):
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return b"".join(map(look, byte(text) if of == "byte" else word(text.lower())))
 
-    else:
-        encode = whole
     return encode
 
 
