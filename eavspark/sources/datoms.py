@@ -1,6 +1,6 @@
-"""Stored facts: one Parquet table, a folder for each attribute, a file for each transaction in it.
+"""Stored facts: a Parquet file for each transaction, merged from time to time into sorted ones for each attribute.
 
-A row is (e, v_*, tx, added): exactly one v_* is filled, that of the attribute's type.
+Only files that the log names count. A row is (e, v_*, tx, added): exactly one v_* is filled, that of the attribute's type.
 A fact is live at a basis if the latest row of its (e, v) up to there is an addition; of
 an addition and a retraction in one transaction the addition counts.
 """
@@ -8,7 +8,10 @@ an addition and a retraction in one transaction the addition counts.
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,14 +29,14 @@ COLUMNS = T.StructType(
 
 
 class DatomSource(FactSource):
-    """``path`` holds the table; ``schema`` is that of the newest transaction, for every basis.
+    """``files(attribute id)`` names what holds an attribute's rows; ``schema`` is that of the newest transaction, for every basis.
 
-    ``recent`` has rows of transactions that aren't in the table yet, for a store in memory.
+    ``recent`` has the rows of a store in memory.
     ``retracted`` has the attributes of which any fact was ever retracted.
     """
 
-    def __init__(self, spark: SparkSession, schema: Schema, path: str | None = None, recent: list | None = None, retracted: set[int] | None = None):
-        self.spark, self.schema, self.path, self.retracted = spark, schema, path, retracted
+    def __init__(self, spark: SparkSession, schema: Schema, files: Callable[[int], list[str]] | None = None, recent: list | None = None, retracted: set[int] | None = None):
+        self.spark, self.schema, self.files, self.retracted = spark, schema, files, retracted
         self.recent = recent if recent is not None else []
 
     def attribute(self, ident):
@@ -46,18 +49,12 @@ class DatomSource(FactSource):
         return self.schema.idents.get(name)
 
     def rows(self, attribute: Attribute) -> DataFrame:
-        """All rows of an attribute: its own folder, and those still in memory."""
-        stored = None
-        if self.path is not None:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/a={attribute.id}")
-            if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-                schema = T.StructType([f for f in COLUMNS.fields if f.name != "a"])
-                stored = self.spark.read.schema(schema).parquet(str(path))
+        """All rows of an attribute, in files or in memory."""
+        paths = self.files(attribute.id) if self.files else []
+        if paths:
+            return self.spark.read.schema(COLUMNS).parquet(*paths).where(F.col("a") == attribute.id).drop("a")
         own = [r[:-1] for r in self.recent if r[-1] == attribute.id]
-        if own or stored is None:
-            memory = self.spark.createDataFrame(own, T.StructType([f for f in COLUMNS.fields if f.name != "a"]))
-            return memory if stored is None else stored.unionByName(memory)
-        return stored
+        return self.spark.createDataFrame(own, T.StructType([f for f in COLUMNS.fields if f.name != "a"]))
 
     def scan(self, attribute, basis=None, with_tx=False):
         v = F.col(f"v_{MEMBER[attribute.kind]}")
@@ -88,32 +85,73 @@ def row(e: int, attribute: Attribute, value, tx: int, added: bool) -> tuple:
 
 
 class Log:
-    """The transactions in order: their operations and outcome, as JSON lines in numbered files.
+    """The transactions in order, as a JSON line in a file each, named by number.
 
-    A file appears whole, under its final name; readers take files in the order of names.
-    Without a path the log is in memory.
+    A file appears whole under its final name, and only if no other has that name: so of two
+    writers one gets the number. What a writer leaves that stops before is hidden and unique, and in
+    nobody's way. Without a path the log is in memory. ``parts`` has files of the same kind, which say what
+    transactions were merged into, and the state after them, so that opening a store doesn't read the whole log.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path
         self.held: list[dict] = []
         if path:
-            self.fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-            at = self._at("")
-            if self.fs.exists(at):
-                names = sorted(f.getPath().toString() for f in self.fs.listStatus(at) if f.getPath().getName().endswith(".json"))
-                if names:
-                    self.held = sorted((json.loads(r[0]) for r in spark.read.text(names).collect()), key=lambda r: r["tx_id"])
+            self.fs = self._at("log").getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _at(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-
-    def append(self, record: dict) -> None:
-        if self.path:
-            hidden, final = self._at(f"_{record['tx_id']:020d}"), self._at(f"{record['tx_id']:020d}.json")
-            out = self.fs.create(hidden, False)
-            out.write(bytearray((json.dumps(record) + "\n").encode()))
-            out.close()
-            if not self.fs.rename(hidden, final):
-                raise RuntimeError(f"transaction {record['tx_id']} is already in the log")
-        self.held.append(record)
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _load(self, at) -> dict | None:
+        if not self.fs.exists(at):
+            return None
+        stream = self.fs.open(at)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def read(self, number: int) -> dict | None:
+        """The record of a transaction, if it is there yet."""
+        if not self.path:
+            return self.held[number] if number < len(self.held) else None
+        return self._load(self._at(f"log/{number:020d}.json"))
+
+    def append(self, record: dict) -> bool:
+        """Whether the record's number was free, and so is now its own."""
+        if not self.path:
+            self.held.append(record)
+            return True
+        return self._put(f"log/{record['tx_id']:020d}.json", record)
+
+    def _put(self, name: str, record: dict) -> bool:
+        jvm, final = self.spark._jvm, self._at(name)
+        hidden = self._at(f"{name.rpartition('/')[0]}/_{uuid.uuid4().hex}")
+        if self.fs.exists(final):
+            return False
+        out = self.fs.create(hidden, False)
+        out.write(bytearray((json.dumps(record) + "\n").encode()))
+        out.close()
+        kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        how[0] = kinds.NONE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration()).rename(hidden, final, how)
+        except Py4JJavaError as e:
+            self.fs.delete(hidden, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        return True
+
+    def put_parts(self, record: dict) -> bool:
+        return self._put(f"parts/{record['upto']:020d}.json", record)
+
+    def parts(self) -> dict | None:
+        """The newest record of merged transactions."""
+        at = self._at("parts") if self.path else None
+        if at is None or not self.fs.exists(at):
+            return None
+        names = [f.getPath().getName() for f in self.fs.listStatus(at)]
+        names = sorted(n for n in names if n.endswith(".json") and n[0] not in "._")
+        return self._load(self._at(f"parts/{names[-1]}")) if names else None

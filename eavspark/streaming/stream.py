@@ -37,12 +37,15 @@ def stream(conn: Connection, text: str, sink: Callable[[DataFrame, int], None],
     """
     query = parse(text)
     check(query)
+    conn.refresh()
     depends = attributes(query, conn.source())
 
     def batch(records: DataFrame, _: int) -> None:
-        for tx_id in sorted(json.loads(r[0])["tx_id"] for r in records.collect()):
-            known = conn.touched.get(tx_id)
-            if known is None or known & depends:
+        for record in sorted((json.loads(r[0]) for r in records.collect()), key=lambda r: r["tx_id"]):
+            tx_id = record["tx_id"]
+            # another process may have written it, with attributes and retractions that aren't known here yet
+            conn.refresh()
+            if depends & {*record["touched"]}:
                 rows = delta(conn.spark, conn.source(), query, tx_id - 1, tx_id)
                 if rows is not None:
                     sink(rows, tx_id)
