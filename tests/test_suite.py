@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from eavspark import suite
+from eavspark import stored_suite, suite
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,6 +24,14 @@ def test_against_sql(spark, sql, name):
     assert sorted(map(tuple, df.collect()), key=repr) == sorted(expected.fetchall(), key=repr)
 
 
+@pytest.mark.parametrize("name", stored_suite.CASES)
+def test_stored_against_sql(spark, sql, name):
+    df = stored_suite.queries()[name](spark, SF)
+    expected = sql.sql(stored_suite.oracle_sql()[name])
+    assert df.columns == expected.columns
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(expected.fetchall(), key=repr)
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
