@@ -280,11 +280,23 @@ def store(documents: DataFrame) -> DataFrame:
     return stage(documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary"), "gif")
 
 
-def features(stored: DataFrame) -> DataFrame:
-    """Decode the media column: sizes and digests of the samples and of the stored form, and a feature.
+#: A shown frame: when it comes and how long it stays (hundredths of a second), its size, and its opaque pixels by steps of each colour channel.
+FRAME = "struct<at: long, delay: long, width: int, height: int, red: array<long>, green: array<long>, blue: array<long>>"
 
-    The feature names frames, time and the histogram of the red channel over the shown frames.
-    """
+
+def timed(shown: Iterator[tuple[int, np.ndarray]]) -> list[dict]:
+    """Shown frames with their times and histograms."""
+    out, at = [], 0
+    for delay, canvas in shown:
+        counts = histogram(canvas)
+        colours = {c: counts[k * BINS : (k + 1) * BINS] for k, c in enumerate(("red", "green", "blue"))}
+        out.append({"at": at, "delay": delay, "width": canvas.shape[1], "height": canvas.shape[0], **colours})
+        at += delay
+    return out
+
+
+def decoded(stored: DataFrame) -> DataFrame:
+    """Decode the media column and store its timed frames beside the figures of what was decoded: one row a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,47 +304,56 @@ def features(stored: DataFrame) -> DataFrame:
                 rows = batch.slice(part, 256)
                 out = []
                 for media in rows["media"].to_pylist():
-                    width, height, shown = frames(media)
-                    samples = b"".join(f.samples for f in shown)
-                    total, time = np.zeros(3 * BINS, np.int64), 0
-                    for delay, canvas in compose(width, height, shown):
-                        total += np.array(histogram(canvas))
-                        time += delay
-                    feature = f"frames={len(shown)};time={time};red=" + ",".join(map(str, total[:BINS]))
-                    out.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+                    width, height, found = frames(media)
+                    samples = b"".join(f.samples for f in found)
+                    out.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(media), hashlib.sha256(media).hexdigest(), timed(compose(width, height, found))))
                 columns = list(zip(*out))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                bins = pa.list_(pa.int64())
+                frame = pa.struct([("at", pa.int64()), ("delay", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("red", bins), ("green", bins), ("blue", bins)])
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(frame))
                 yield pa.RecordBatch.from_arrays(
                     [rows["doc_id"], rows["n_bytes"], *[pa.array(c, k) for c, k in zip(columns, kinds)]],
-                    ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                    ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames"],
                 )
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames array<{FRAME}>"
+    return stage(stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema), "frames")
+
+
+def features(stored: DataFrame) -> DataFrame:
+    """Sizes and digests of the samples and of the stored form of each document's media, and a feature of its stored frames.
+
+    The feature names the frames, their time, and the histogram of each colour channel over all of them.
+    """
+    none = F.array_repeat(F.lit(0).cast("long"), BINS)
+    total = lambda c: F.array_join(F.aggregate(f"frames.{c}", none, lambda x, y: F.zip_with(x, y, lambda a, b: a + b)).cast("array<string>"), ",")
+    time = F.aggregate("frames.delay", F.lit(0).cast("long"), lambda x, y: x + y)
+    feature = F.concat(F.lit("frames="), F.size("frames").cast("string"), F.lit(";time="), time.cast("string"), *[x for c in ("red", "green", "blue") for x in (F.lit(f";{c}="), total(c))])
+    return decoded(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
 def frame_table(media: DataFrame) -> DataFrame:
-    """One row a shown frame of a table (doc_id, media): frame, at (hundredths of a second), width, height, histogram.
+    """One row a shown frame of a table (doc_id, media): doc_id, frame, and the columns of FRAME.
 
     A null or broken stream gives one row with a null frame.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("at", "delay", "width", "height", "red", "green", "blue")
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "frame", "at", "width", "height", "histogram")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "frame", *names)}
             for doc_id, data in zip(batch["doc_id"].to_pylist(), batch["media"].to_pylist()):
                 try:
-                    time = 0
-                    shown = []
-                    for k, (delay, canvas) in enumerate(composed(data or b"")):
-                        shown.append((doc_id, k, time, canvas.shape[1], canvas.shape[0], histogram(canvas)))
-                        time += delay
+                    shown = list(enumerate(timed(composed(data or b""))))
                 except ValueError:
-                    shown = [(doc_id, None, None, None, None, None)]
-                for row in shown:
-                    for c, v in zip(out, row):
-                        out[c].append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+                    shown = [(None, dict.fromkeys(names))]
+                for k, row in shown:
+                    out["doc_id"].append(doc_id), out["frame"].append(k)
+                    for c in names:
+                        out[c].append(row[c])
+            bins = pa.list_(pa.int64())
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), bins, bins, bins)
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], list(out))
 
-    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, "doc_id long, frame int, at long, width int, height int, histogram array<long>")
+    schema = "doc_id long, frame int, at long, delay long, width int, height int, red array<long>, green array<long>, blue array<long>"
+    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, schema)

@@ -23,8 +23,8 @@ from eavspark.llm import tokens
 from eavspark.llm.shared import running_total, stage
 
 WINDOW = 2048
-#: Tokens of a packet at most: the grain to which a window keeps the proportions.
-PACKET = 512
+#: Tokens of a packet at most, and at least: the grain to which a window keeps the proportions.
+PACKET, FEW = 512, 64
 END = 1
 
 
@@ -47,26 +47,32 @@ def tokenized(documents: DataFrame, vocabulary: str, end: int) -> DataFrame:
     return stage(ids.withColumn("row", F.monotonically_increasing_id()), "tokens")
 
 
-def plan(rows: DataFrame, window: int = WINDOW, packet: int = PACKET) -> DataFrame:
+def plan(rows: DataFrame, window: int = WINDOW, packet: int = PACKET, weights: dict[str | None, float] | None = None) -> DataFrame:
     """Where each piece goes: row, start, length, sequence_id, offset, from (row, source, n_ids).
 
-    A null source is a queue of its own. The queue's order is that of a hash of the row
+    A queue's quantum is its weight's part of a window; without ``weights``, by source, its tokens are its weight, so that all
+    queues end together. A source that ``weights`` doesn't name has weight 1. With weights a queue may end before
+    others, which then share the windows by theirs. A packet is a quantum, but FEW tokens at least and ``packet`` at most, so that
+    a small source isn't bunched. A null source is a queue of its own. The queue's order is that of a hash of the row
     number, so that the documents of one input file don't come in a run.
     """
     rows = rows.select("row", "n_ids", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("queue"))
-    count = F.ceil(F.col("n_ids") / packet).cast("int")
-    packets = rows.withColumn("k", F.explode(F.sequence(F.lit(0), count - 1)))
+    totals = rows.groupBy("queue").agg(F.sum("n_ids").cast("double").alias("weight"))
+    if weights is not None:
+        named = F.create_map(*[F.lit(x) for k, w in weights.items() for x in ("-" if k is None else f"={k}", float(w))]) if weights else F.create_map().cast("map<string,double>")
+        totals = totals.withColumn("weight", F.coalesce(F.element_at(named, F.col("queue")), F.lit(1.0)))
+    # one number, the sum, comes to the driver
+    whole = totals.agg(F.sum("weight")).first()[0] or 1.0
+    quantum = F.lit(float(window)) * F.col("weight") / F.lit(whole)
+    totals = totals.select("queue", quantum.alias("quantum"), F.least(F.lit(packet), F.greatest(F.lit(FEW), F.ceil(quantum))).cast("int").alias("packet"))
+    packets = rows.join(totals, "queue").withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_ids") / F.col("packet")).cast("int") - 1)))
     packets = packets.select(
-        "row", "queue", (F.col("k") * packet).cast("long").alias("start"),
-        F.least(F.lit(packet), F.col("n_ids") - F.col("k") * packet).cast("long").alias("length"),
+        "row", "queue", "quantum", (F.col("k") * F.col("packet")).cast("long").alias("start"),
+        F.least(F.col("packet"), F.col("n_ids") - F.col("k") * F.col("packet")).cast("long").alias("length"),
         F.xxhash64("row").alias("place"),
     )
     queued = running_total(packets, ["place", "row", "start"], "length", ["queue"], "sent")
-    totals = rows.groupBy("queue").agg(F.sum("n_ids").alias("all"))
-    # the quantum of a queue is window * all / sum of all; only one number, the sum, comes to the driver
-    whole = totals.agg(F.sum("all")).first()[0] or 0
-    quantum = F.lit(float(window)) * F.col("all") / F.lit(float(max(whole, 1)))
-    queued = queued.join(totals, "queue").withColumn("round", F.ceil((F.col("sent") + F.col("length")) / quantum).cast("long"))
+    queued = queued.withColumn("round", F.ceil((F.col("sent") + F.col("length")) / F.col("quantum")).cast("long"))
     stream = running_total(queued.select("row", "start", "length", "queue", "round", "place"), ["round", "queue", "place", "row", "start"], "length", [], "at")
     first, last = F.floor(F.col("at") / window), F.floor((F.col("at") + F.col("length") - 1) / window)
     stream = stream.withColumn("sequence_id", F.explode(F.sequence(first, last)))
@@ -78,8 +84,8 @@ def plan(rows: DataFrame, window: int = WINDOW, packet: int = PACKET) -> DataFra
     )
 
 
-def pack(documents: DataFrame, vocabulary: str | None = None, end: int = END, window: int = WINDOW, packet: int = PACKET) -> DataFrame:
-    """Pack all documents into sequences of ``window`` tokens, each filled to the proportions of the sources.
+def pack(documents: DataFrame, vocabulary: str | None = None, end: int = END, window: int = WINDOW, packet: int = PACKET, weights: dict[str | None, float] | None = None) -> DataFrame:
+    """Pack all documents into sequences of ``window`` tokens, each filled to the proportions of the sources, or to ``weights`` by source.
 
     Returns one row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset, source and ids (array of int). Every id, with the end id that closes each
@@ -89,7 +95,7 @@ def pack(documents: DataFrame, vocabulary: str | None = None, end: int = END, wi
     table gives no pieces. Other columns are ignored.
     """
     rows = tokenized(documents, vocabulary or tokens.path("word_bpe_49k.json"), end)
-    pieces = plan(rows, window, packet)
+    pieces = plan(rows, window, packet, weights)
     of = pieces.groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from eavspark.llm import embed_dedup, gif, langid, mixing, ngram_join, packing, quality, substring, token_store, warc
-from eavspark.llm.shared import new_path
+from eavspark.llm.shared import new_path, release
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-store")
     token_store.write(table(spark, sf_dir, "documents"), path)
+    release(spark)
     return token_store.digest(spark, path)
 
 
@@ -49,6 +50,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
+    release(spark)
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -220,7 +220,7 @@ def block_pairs(df: DataFrame, key: str, weight: str, row: str, most_rows: int =
     return dealt.withColumns({"_i": F.least("_block", "_other"), "_j": F.greatest("_block", "_other")}).drop("_other", "_blocks")
 
 
-def map_groups(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+def map_groups(df: DataFrame, keys: list[str], fn, schema: str, order: list[str] = []) -> DataFrame:
     """Apply ``fn(table) -> table or None`` to the rows of each key, streamed over sorted partitions.
 
     Unlike a grouped map this costs nothing for the many groups of one or two rows; a
@@ -251,7 +251,7 @@ def map_groups(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
         if found is not None:
             yield from found.to_batches()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def map_tables(df: DataFrame, keys: list[str], fn, schema: str, order: list[str] = []) -> DataFrame:

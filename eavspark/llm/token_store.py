@@ -7,12 +7,11 @@ root of each recipe file and of the whole. Layout under the store's folder:
 
     chunks/   digest binary, n int, data binary (zstd of 16-bit little-endian ids)
     recipes/  doc_id, start, n_tokens, digests array<binary>, root binary; files and rows in ascending doc_id
-    manifest/ file int, documents long, first_doc_id long, root binary
+    manifest/ file string, documents long, first long (ids before its first document), root binary
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -25,12 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eavspark.llm import tokens
-from eavspark.llm.shared import boundaries, drop, partitions, running_total, stage
+from eavspark.llm.shared import boundaries, map_groups, map_tables, partitions, release, running_total, stage
 
 END = 2
-#: Ids of a chunk: at least, at most; and the bits that cut, so 64 + 256 on average.
-LEAST, MOST, BITS = 64, 2048, 8
+#: Ids of a chunk: at least, at most; and the bits that cut, so 64 + 512 on average.
+LEAST, MOST, BITS = 64, 4096, 9
 CHUNKS = "key binary, n long, data binary"
+RECIPES = "doc_id long, start long, n_tokens long, digests array<binary>, root binary"
+MANIFEST = "file string, documents long, first long, root binary"
 #: The rolling window is 2 ** STEPS ids.
 STEPS, FACTOR = 4, 0x9E3779B97F4A7C15
 
@@ -125,13 +126,13 @@ def write(documents: DataFrame, path: str, vocabulary: str | None = None, end: i
     kept.write.option("compression", "none").partitionBy("kind").parquet(f"{path}/sent")
     fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     at = lambda x: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{x}")
-    roots = "doc_id long, start long, n_tokens long, digests array<binary>, root binary"
     if not fs.exists(at("sent/kind=1")):  # no documents: three empty tables
-        for name, kind in (("chunks", CHUNKS), ("recipes", roots), ("manifest", "file int, documents long, first_doc_id long, root binary")):
+        for name, kind in (("chunks", CHUNKS), ("recipes", RECIPES), ("manifest", MANIFEST)):
             spark.createDataFrame([], kind).write.parquet(f"{path}/{name}")
         fs.delete(at("sent"), True)
         return
     fs.rename(at("sent/kind=0"), at("chunks"))
+    release(spark)
     # Recipes take their place by id; the ids before each document are a running total.
     recipes = spark.read.schema("key binary, doc_id long, n long, data binary").parquet(f"{path}/sent/kind=1")
     placed = running_total(recipes, ["doc_id", "key"], "n", [], "start")
@@ -144,128 +145,74 @@ def write(documents: DataFrame, path: str, vocabulary: str | None = None, end: i
                 ["doc_id", "start", "n_tokens", "digests", "root"],
             )
 
-    placed.select("doc_id", "start", "n", "data").mapInArrow(root, roots).repartitionByRange(partitions(spark), "start").sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    placed.select("doc_id", "start", "n", "data").mapInArrow(root, RECIPES).repartitionByRange(partitions(spark), "start").sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{path}/recipes")
     fs.delete(at("sent"), True)
+    roots(spark, path).write.parquet(f"{path}/manifest")
 
-    def manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        n, first, found = 0, None, []
-        for batch in batches:
-            n += batch.num_rows
-            first = batch["doc_id"][0].as_py() if first is None and batch.num_rows else first
-            found += batch["root"].to_pylist()
-        if n:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([first], pa.int64()), pa.array([merkle(found)], pa.binary())],
-                ["file", "documents", "first_doc_id", "root"],
-            )
+def roots(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest that the recipe files ask for as they are; a task holds the roots of one file."""
 
-    made = spark.read.schema(roots).parquet(f"{path}/recipes").select("doc_id", "root").mapInArrow(manifest, "file int, documents long, first_doc_id long, root binary")
-    made.write.parquet(f"{path}/manifest")
+    def root(t: pa.Table) -> pa.Table:
+        return pa.table([t["file"][:1], pa.array([t.num_rows], pa.int64()), t["start"][:1], pa.array([merkle(t["root"].to_pylist())], pa.binary())], names=["file", "documents", "first", "root"])
 
-
-def chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The chunks as read back: digest, n, crc (of 32-bit ids), whole (the digest is that of the ids)."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            raw = [unpack(x) for x in batch["data"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["key"], pa.array([len(x) // 2 for x in raw], pa.int64()),
-                    pa.array([zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in raw], pa.int64()),
-                    pa.array([hashlib.sha256(x).digest() == k for x, k in zip(raw, batch["key"].to_pylist())]),
-                ],
-                ["digest", "n", "crc", "whole"],
-            )
-
-    stored = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
-    return stored.select("key", "data").mapInArrow(read, "digest binary, n long, crc long, whole boolean")
+    held = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
+    return map_groups(held.select(F.col("_metadata.file_name").alias("file"), "start", "doc_id", "root"), ["file"], root, MANIFEST, ["start", "doc_id", "root"])
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Documents as they were: doc_id, start, ids (16-bit little-endian bytes)."""
-    unpacked = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").withColumnRenamed("key", "digest")
-    recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", F.posexplode("digests").alias("k", "digest"))
-    whole = recipes.join(unpacked, "digest").groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("k", "data"))).alias("parts"))
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            ids = [b"".join(unpack(p["data"]) for p in x) for x in batch["parts"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["start"], pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
+    """Documents put together again from their chunks: doc_id, start, n_tokens, ids, verified.
 
-    return whole.mapInArrow(join, "doc_id long, start long, ids binary")
+    ids are little-endian of 16 bits, without what a lost chunk held. verified is true if each chunk that the recipe names is there and has
+    the ids of its digest, if their digests make the recipe's Merkle root, and if the manifest's root of
+    the recipe's file is that of the recipes in it. No damage takes a row away whose recipe can be read.
+    """
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("*", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("row"))
+    recipes = stage(recipes, "recipes")
+    stored = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").select(F.col("key").alias("digest"), "data")
+    parts = recipes.select("row", F.posexplode("digests").alias("k", "digest")).join(stored, "digest", "left").select("row", "k", "digest", "data")
+    said = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    real = roots(spark, path).select("file", F.col("documents").alias("n"), F.col("root").alias("found"))
+    files = real.join(said, "file", "left").select("file", F.coalesce((F.col("n") == F.col("documents")) & (F.col("found") == F.col("root")), F.lit(False)).alias("listed"))
+    heads = recipes.select("row", F.lit(-1).alias("k"), F.col("root").alias("digest"), F.lit(None).cast("binary").alias("data"), "doc_id", "start", "n_tokens", "file").join(files, "file", "left").drop("file")
+
+    def whole(t: pa.Table) -> pa.Table:
+        unpack, keys, data = zstandard.ZstdDecompressor().decompress, t["digest"].to_pylist(), t["data"].to_pylist()
+        at = np.append(boundaries(t, ["row"]), t.num_rows).tolist()
+        ids, good = [], []
+        for low, high in zip(at[:-1], at[1:]):
+            raw = [b"" if x is None else unpacked(unpack, x) for x in data[low + 1 : high]]
+            ids.append(b"".join(raw))
+            good.append(all(hashlib.sha256(x).digest() == k for x, k in zip(raw, keys[low + 1 : high])) and merkle(keys[low + 1 : high]) == keys[low])
+        first = pa.array(at[:-1])
+        listed, n = t["listed"].take(first), t["n_tokens"].take(first)
+        whole = pc.and_(pc.fill_null(listed, False), pc.and_(pa.array(good, pa.bool_()), pc.equal(n, pa.array([len(x) // 2 for x in ids], pa.int64()))))
+        return pa.table([t["doc_id"].take(first), t["start"].take(first), n, pa.array(ids, pa.binary()), pc.fill_null(whole, False)], names=["doc_id", "start", "n_tokens", "ids", "verified"])
+
+    both = heads.unionByName(parts, allowMissingColumns=True)
+    return map_tables(both, ["row"], whole, "doc_id long, start long, n_tokens long, ids binary, verified boolean", ["k"])
+
+
+def unpacked(unpack, data: bytes) -> bytes:
+    """A chunk's ids; none if it is damaged."""
+    try:
+        return unpack(data)
+    except zstandard.ZstdError:
+        return b""
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32, verified.
+    """Per document, from its ids as they are read back: doc_id, start, n_tokens, ids_crc32 (of 32-bit ids), verified.
 
-    Every chunk's ids are unpacked, and checked against their digest. The checksum of a
-    document is joined from those of its chunks, so the ids themselves don't travel; a
-    recipe's Merkle root is made again from the digests of the chunks that were found.
+    n_tokens and ids_crc32 are of the ids that were found; see ``read_ids`` for what is verified.
     """
-    recipes = spark.read.schema("doc_id long, start long, n_tokens long, digests array<binary>, root binary").parquet(f"{path}/recipes")
-    recipes = recipes.withColumn("row", F.monotonically_increasing_id())
-    parts = recipes.select("row", F.posexplode("digests").alias("k", "digest")).join(chunks(spark, path), "digest")
-    of = parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "n", "crc", "whole", "digest"))).alias("parts"))
 
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ns, crcs, good = [], [], []
-            for parts, root, n in zip(batch["parts"].to_pylist(), batch["root"].to_pylist(), batch["n_tokens"].to_pylist()):
-                crc = 0
-                for p in parts:
-                    crc = crc_join(crc, p["crc"], 4 * p["n"])
-                ns.append(sum(p["n"] for p in parts))
-                crcs.append(crc)
-                good.append(all(p["whole"] for p in parts) and merkle([p["digest"] for p in parts]) == root and ns[-1] == n)
+            raw = [np.frombuffer(x.as_buffer(), "<u2").astype("<u4") for x in batch["ids"]]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["start"], pa.array(ns, pa.int64()), pa.array(crcs, pa.int64()), pa.array(good, pa.bool_())],
+                [batch["doc_id"], batch["start"], pa.array([len(x) for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), batch["verified"]],
                 ["doc_id", "start", "n_tokens", "ids_crc32", "verified"],
             )
 
-    return recipes.select("row", "doc_id", "start", "n_tokens", "root").join(of, "row").mapInArrow(combine, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
-
-
-def _times(matrix: tuple[int, ...], vector: int) -> int:
-    out, k = 0, 0
-    while vector:
-        if vector & 1:
-            out ^= matrix[k]
-        vector >>= 1
-        k += 1
-    return out
-
-
-def _zeros() -> list[tuple[int, ...]]:
-    """Operators on a CRC-32 that append 2**k zero bytes, as matrices over GF(2)."""
-    bit = (0xEDB88320, *[1 << k for k in range(31)])
-    square = lambda m: tuple(_times(m, x) for x in m)
-    byte = square(square(square(bit)))
-    out = [byte]
-    for _ in range(40):
-        out.append(square(out[-1]))
-    return out
-
-
-ZEROS = _zeros()
-
-
-@functools.lru_cache(maxsize=2 * MOST)
-def _append(length: int) -> tuple[int, ...]:
-    """The operator that appends ``length`` zero bytes."""
-    out, k = tuple(1 << b for b in range(32)), 0
-    while length:
-        if length & 1:
-            out = tuple(_times(ZEROS[k], x) for x in out)
-        length >>= 1
-        k += 1
-    return out
-
-
-def crc_join(first: int, second: int, length: int) -> int:
-    """CRC-32 of two strings one after the other; ``length`` is the second's in bytes."""
-    return _times(_append(length), first) ^ second
+    return read_ids(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: The date that the records carry; a page has none of its own.
 DATE = "1970-01-01T00:00:00Z"
+#: Controls and separators of lines, which a header's value must not have.
+CONTROLS = r"[\x00-\x1f\x7f-\x9f\x{2028}\x{2029}]"
 
 
 def base32_sha1(data: Column) -> Column:
@@ -42,6 +44,12 @@ def record_uri(page_id: Column) -> Column:
     )
 
 
+def one_line(value: Column) -> Column:
+    """A text with its controls and separators of lines percent-encoded; others come as they are."""
+    part = F.regexp_extract_all(value, F.lit(rf"{CONTROLS}|(?:(?!{CONTROLS})[\s\S])+"), F.lit(0))
+    return F.when(value.rlike(CONTROLS), F.array_join(F.transform(part, lambda x: F.when(x.rlike(CONTROLS), F.url_encode(x)).otherwise(x)), "")).otherwise(value)
+
+
 def write(pages: DataFrame, path: str, least: int = 0) -> None:
     """Write the archive of ``pages`` (page_id, url, html).
 
@@ -49,7 +57,8 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
     smallest page_id is a response and the others revisit it; a null page_id comes after all
     others. A null html is an empty payload, a null url an empty target. Repeated page
     ids are records of their own, and only one row of a repeated smallest id is the
-    response. An empty table gives an empty archive. Other columns are ignored.
+    response. Controls and separators of lines in a url are percent-encoded, so a header's lines are its own. An empty
+    table gives an empty archive. Other columns are ignored.
     """
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), body.alias("body"))
@@ -69,7 +78,7 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
         line("WARC-Type", F.col("kind")),
         line("WARC-Record-ID", record_uri(F.coalesce(F.col("page_id").cast("string"), F.lit("")))),
         line("WARC-Date", F.lit(DATE)),
-        line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "")),
+        line("WARC-Target-URI", one_line(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         F.when(
             F.col("kind") == "revisit",
@@ -87,38 +96,40 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
     known.select(F.encode(header, "UTF-8").alias("header"), "digest").write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
-def field(header: Column, name: str) -> Column:
-    """The value of a header's line, null where there is none."""
-    found = F.regexp_extract(header, rf"(?m)^{name}: ?([^\r\n]*)\r?$", 1)
-    return F.when(found != "", found)
+def field(lines: Column, name: str) -> Column:
+    """The value of the first of a header's lines that has the name, null where there is none or it is empty."""
+    found = F.get(F.filter(lines, lambda x: x.startswith(F.lit(f"{name}: "))), F.lit(0))
+    value = F.substring(found, len(name) + 3, 1 << 30)
+    return F.when(value != "", value)
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """The original records, joined: header, digest, payload (of a revisit too; null if the archive lost it), record (bytes of the WARC file)."""
+    heads = spark.read.schema("header binary, digest string").parquet(f"{path}/headers")
+    stored = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
+    of_revisit = F.decode("header", "UTF-8").contains("\r\nWARC-Type: revisit\r\n")
+    end = F.encode(F.lit("\r\n\r\n"), "UTF-8")
+    block = F.when(of_revisit, F.encode(F.lit(""), "UTF-8")).otherwise(F.col("payload"))
+    return heads.join(stored, "digest", "left").select("header", "digest", "payload", F.concat("header", block, end).alias("record"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records' headers, parsed from their bytes, with what their stored payload really is.
+    """Each record put together again, and what it says and is: page_id, payload_bytes, payload_digest, record_type, refers_to, url, verified.
 
-    Sizes and digests are taken from the payloads' own bytes as they lie in the archive,
-    where each is checked against its SHA-256; only those figures meet the headers, and
-    the payload stays where it is. ``records`` brings the bytes as well.
+    Headers are parsed from their bytes, line by line; sizes and digests are taken of the payloads' bytes. verified is true
+    if the payload is that of its SHA-256 and of the SHA-1 in the header, and the record as long as its header says. A record
+    whose payload is lost stays, with null figures, unverified. url is as in the header, with controls percent-encoded.
     """
-    body = F.col("payload")
-    stored = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads").select(
-        "digest", F.octet_length(body).cast("long").alias("payload_bytes"), base32_sha1(body).alias("payload_digest"), (F.sha2(body, 256) == F.col("digest")).alias("whole")
+    body, lines = F.col("payload"), F.split(F.decode("header", "UTF-8"), "\r\n")
+    rows = records(spark, path).select(
+        "digest", "payload", F.octet_length("header").alias("head"), F.octet_length("record").alias("size"), F.octet_length(body).cast("long").alias("payload_bytes"),
+        base32_sha1(body).alias("payload_digest"), F.sha2(body, 256).alias("is"), *[field(lines, name).alias(c) for c, name in FIELDS.items()],
     )
-    heads = spark.read.schema("header binary, digest string").parquet(f"{path}/headers").withColumn("header", F.decode("header", "UTF-8"))
-    head = F.col("header")
-    heads = heads.select(
-        "digest", field(head, "X-Page").cast("long").alias("page_id"), field(head, "WARC-Type").alias("record_type"),
-        field(head, "X-Refers-To-Page").cast("long").alias("refers_to"), field(head, "WARC-Payload-Digest").alias("said"), field(head, "WARC-Target-URI").alias("url"),
+    whole = (F.col("is") == F.col("digest")) & (F.col("said") == F.concat(F.lit("sha1:"), F.col("payload_digest"))) & (F.col("size") == F.col("head") + F.col("length").cast("long") + 4)
+    return rows.select(
+        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "url", F.coalesce(whole, F.lit(False)).alias("verified")
     )
-    good = F.col("whole") & (F.col("said") == F.concat(F.lit("sha1:"), F.col("payload_digest")))
-    return heads.join(stored, "digest", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", F.coalesce(good, F.lit(False)).alias("verified"))
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """The original records, joined: header, payload (of a revisit too), record (bytes of the WARC file)."""
-    heads = spark.read.schema("header binary, digest string").parquet(f"{path}/headers")
-    stored = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
-    of_revisit = F.decode("header", "UTF-8").contains("\r\nWARC-Type: revisit\r\n")
-    end = F.encode(F.lit("\r\n\r\n"), "UTF-8")
-    block = F.when(of_revisit, F.encode(F.lit(""), "UTF-8")).otherwise(F.col("payload"))
-    return heads.join(stored, "digest").select("header", "payload", F.concat("header", block, end).alias("record"))
+#: Columns that are read from headers.
+FIELDS = {"page_id": "X-Page", "record_type": "WARC-Type", "refers_to": "X-Refers-To-Page", "said": "WARC-Payload-Digest", "url": "WARC-Target-URI", "length": "Content-Length"}

@@ -41,6 +41,20 @@ def test_archive(spark):
         assert bytes(r.record) == head + body + b"\r\n\r\n" and f"Content-Length: {len(body)}\r\n".encode() in head
 
 
+def test_archive_of_odd_urls(spark):
+    """A url that tries to begin a line of its own stays in its line."""
+    rows = [(k, f"http://a{c}X-Page: 999{c}WARC-Type: revisit", f"p{k}") for k, c in enumerate(["\r\n", "\n", "\r", "\x85", "\u2028", "\u2029", "\x0b", "\x00"])]
+    path = new_path(spark, "warc")
+    warc.write(spark.createDataFrame([(*r, "", "", 1) for r in rows], PAGES), path)
+    got = {r.page_id: r for r in warc.read(spark, path).collect()}
+    assert set(got) == set(range(len(rows))) and all(r.verified and r.record_type == "response" for r in got.values())
+    assert got[4].url == "http://a%E2%80%A8X-Page: 999%E2%80%A8WARC-Type: revisit" and got[0].url.startswith("http://a%0D%0AX-Page")
+    kept = spark.read.parquet(f"{path}/payloads").orderBy("digest").collect()
+    spark.createDataFrame(kept[1:], "digest string, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
+    less = warc.read(spark, path).collect()
+    assert len(less) == len(rows) and sum(not r.verified for r in less) == 1
+
+
 def test_archive_threshold_and_nothing(spark):
     path = new_path(spark, "warc")
     warc.write(spark.createDataFrame([(1, "a", "xx", "", "", 1), (2, "b", "xx", "", "", 1)], PAGES), path, least=3)
@@ -152,6 +166,15 @@ def test_gif_query(spark):
         r = next(r for r in got if r.doc_id == k and r.n_bytes == n)
         assert len(p) % 576 == 0 and len(p) > 0 and (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
         assert r.media_sha256 == hashlib.sha256(gif.encode(p)).hexdigest() and r.media_bytes == len(gif.encode(p))
+        # every sample is a grey pixel, on top of the frame before
+        size, total = gif.ROWS * gif.WIDTH, [0] * 16
+        canvas = bytearray(min(size, len(p)))
+        for at in range(0, len(p), size):
+            canvas[: len(p[at : at + size])] = p[at : at + size]
+            for b in canvas:
+                total[b // 16] += 1
+        steps, count = ",".join(map(str, total)), -(-len(p) // size)
+        assert r.feature == f"frames={count};time={10 * count};red={steps};green={steps};blue={steps}"
     assert len({tuple(r) for r in got if r.doc_id == 1}) == 1 and gif.features(gif.store(docs.limit(0))).count() == 0
     media = gif.store(docs).select("doc_id", "media")
     frames = gif.frame_table(media.unionByName(spark.createDataFrame([(77, b"junk"), (78, None)], "doc_id long, media binary"))).collect()

@@ -1,11 +1,15 @@
 """Packing, the token store and mixing, against plain versions of themselves."""
 
+import glob
+import os
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from eavspark.llm import mixing, packing, token_store, tokens
@@ -23,16 +27,20 @@ TEXTS = [
 
 
 def library(name, text):
-    t = Tokenizer.from_file(tokens.path(name))
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(tokens.path(name)).encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_tokens_are_the_library_s(name):
-    encode = tokens.encoder(tokens.path(name))
-    for text in TEXTS * 2:
-        assert np.frombuffer(encode(text), "<u2").tolist() == library(name, text), text
+    """Also for letters that lower to others, and for names of special tokens, which are those tokens."""
+    encode, plain = tokens.encoder(tokens.path(name)), Tokenizer.from_file(tokens.path(name))
+    rng = random.Random(1)
+    chars = [chr(c) for c in [9, 10, 13, *range(0x20, 0x250)]] + list("<|endoftext|>''  \n") * 8
+    drawn = ["".join(rng.choice(chars) for _ in range(rng.randrange(1, 25))) for _ in range(20_000)]
+    special = ["a <|endoftext|> b", "<|ENDOFTEXT|>x", "<|startoftext|>", "Ɔ.", "(Ɔkyena)", "x" * 300]
+    for text in [*TEXTS * 2, *special, *drawn]:
+        assert np.frombuffer(encode(text), "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert tokens.kind(tokens.path(name)) == name.split("_")[0]
 
 
 def crc(ids):
@@ -73,6 +81,43 @@ def test_packing_keeps_proportions(spark):
     assert all(abs(x - 0.25) < 0.13 for x in full) and abs(np.mean(full) - 0.25) < 0.01
 
 
+@pytest.mark.parametrize("weights", [None, {"a": 4, "b": 2, "c": 1, None: 1}])
+def test_packing_is_deficit_round_robin(spark, weights):
+    """The stream of packets is that of rounds one after the other, with deficits kept."""
+    rng = random.Random(4)
+    rows = [(k, rng.choice(["a", "a", "a", "b", "c", None]), rng.randrange(1, 900)) for k in range(150)]
+    if weights is None:  # the tokens of each source a power of two of all, so that quanta are whole
+        rows = [(k, s, 256) for k, s in enumerate(["a"] * 32 + ["b"] * 16 + ["c"] * 8 + [None] * 8)]
+    df = spark.createDataFrame(rows, "row long, source string, n_ids long")
+    place = {r.row: r.p for r in df.select("row", F.xxhash64("row").alias("p")).collect()}
+    total = defaultdict(int)
+    for _, s, n in rows:
+        total[s] += n
+    weight = weights or total
+    quantum = {s: 512 * weight[s] // sum(weight[x] for x in total) for s in total}
+    size = {s: min(128, max(packing.FEW, q)) for s, q in quantum.items()}
+    queues = {s: [(k, at, min(size[s], n - at)) for k, _, n in sorted((r for r in rows if r[1] == s), key=lambda r: (place[r[0]], r[0])) for at in range(0, n, size[s])] for s in total}
+    deficit, sent = dict.fromkeys(total, 0), []
+    while any(queues.values()):
+        for s in sorted(total, key=lambda s: "-" if s is None else f"={s}"):
+            deficit[s] += quantum[s]
+            while queues[s] and queues[s][0][2] <= deficit[s]:
+                deficit[s] -= queues[s][0][2]
+                sent.append(queues[s].pop(0))
+    ids = [(k, at + j) for k, at, n in sent for j in range(n)]
+    got = sorted(packing.plan(df, 512, 128, weights).collect(), key=lambda r: (r.sequence_id, r.offset))
+    assert [(r.row, r.start + j) for r in got for j in range(r.length)] == ids
+    assert all(r.offset + r.length <= 512 for r in got)
+    if weights:  # while all queues last, every window has the target proportions to a packet
+        source = {k: s for k, s, _ in rows}
+        for w in range(min(total[s] // quantum[s] for s in total) - 1):
+            n = defaultdict(int)
+            for r in got:
+                if r.sequence_id == w:
+                    n[source[r.row]] += r.length
+            assert all(abs(n[s] - quantum[s]) <= 2 * size[s] for s in total)
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -107,6 +152,30 @@ def test_store_finds_damage(spark, tmp_path):
     assert not token_store.digest(spark, path).first().verified
 
 
+@pytest.mark.parametrize("lost", ["chunks", "manifest", "recipes"])
+def test_store_finds_loss(spark, lost):
+    """A lost chunk, a changed manifest or a lost recipe is told, and takes no other document away."""
+    path = new_path(spark, "store")
+    docs = [(k, f"text {k} " * 50, None, None, 0, 0, "") for k in range(20)]
+    token_store.write(spark.createDataFrame(docs, SCHEMA), path)
+    if lost == "chunks":
+        kept = spark.read.parquet(f"{path}/chunks").orderBy("key").collect()
+        spark.createDataFrame(kept[1:], "key binary, n long, doc_id long, data binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/chunks")
+    elif lost == "manifest":
+        made = spark.read.parquet(f"{path}/manifest").collect()
+        spark.createDataFrame([(r.file, r.documents, r.first, b"x") for r in made], token_store.MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    else:
+        at = sorted(glob.glob(f"{path}/recipes/part-*"))[0]
+        rows = spark.read.schema(token_store.RECIPES).parquet(at).collect()
+        spark.createDataFrame(rows[1:], token_store.RECIPES).coalesce(1).write.parquet(f"{path}/less")
+        os.replace(glob.glob(f"{path}/less/part-*")[0], at)
+        for crc in glob.glob(f"{path}/recipes/.part-*"):
+            os.remove(crc)
+    got = token_store.digest(spark, path).collect()
+    bad = [r for r in got if not r.verified]
+    assert len(got) == 20 - (lost == "recipes") and {"chunks": len(bad) == 1, "manifest": len(bad) == 20, "recipes": 0 < len(bad) < 20}[lost]
+
+
 def test_store_of_nothing(spark):
     path = new_path(spark, "store")
     token_store.write(spark.createDataFrame([], SCHEMA), path)
@@ -122,13 +191,6 @@ def test_cuts_follow_content():
     assert token_store.cuts(x[:10]) == [10] and max(np.diff([0, *token_store.cuts(np.zeros(9000, "<u2"))])) <= token_store.MOST
 
 
-def test_crc_join():
-    rng = np.random.default_rng(1)
-    for n, m in ((0, 5), (5, 0), (100, 3000)):
-        a, b = rng.bytes(n), rng.bytes(m)
-        assert token_store.crc_join(zlib.crc32(a), zlib.crc32(b), m) == zlib.crc32(a + b)
-
-
 def test_running_total(spark):
     rows = [(k % 7, k, k * 3 % 11) for k in range(500)]
     got = running_total(spark.createDataFrame(rows, "s long, k long, v long"), ["k"], "v", ["s"]).collect()
