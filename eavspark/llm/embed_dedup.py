@@ -129,7 +129,7 @@ def links(vectors: DataFrame, least: float = LINKED, recall: float = RECALL, pro
     usable = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding").mapInArrow(unit, "vec_id long, label string, raw binary, unit binary")
     usable = stage(usable.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.xxhash64("label").alias("label"), F.sha2(F.concat(F.encode("label", "UTF-8"), F.lit(b"\0"), "raw"), 256).alias("same_as"), "unit"), "vectors")
     slim = usable.select("row", "vec_id", "same_as")
-    reps = slim.where("same_as IS NOT NULL").groupBy("same_as").agg(F.min("row").alias("rep"), F.count("*").alias("same"))
+    reps = stage(slim.where("same_as IS NOT NULL").groupBy("same_as").agg(F.min("row").alias("rep"), F.count("*").alias("same")), "reps")
     copies = stage(slim.join(reps, "same_as", "left").select("row", "vec_id", "rep", "same"), "copies")
     only = copies.where("row = rep").select("row", "same")
     distinct = usable.join(only, "row").select(F.col("row").alias("node"), "label", "same", "unit")
@@ -190,9 +190,9 @@ def links(vectors: DataFrame, least: float = LINKED, recall: float = RECALL, pro
         return pa.table({"rep": nodes, "n": total, "to": nodes[root]})
 
     verified = stage(map_groups(dealt, ["component", "_i", "_j"], compare, "rep long, n long, to long"), "links")
-    drop(found, met, usable)
+    drop(found, met, usable, reps)
     release(vectors.sparkSession)
-    counts = verified.groupBy("rep").agg(F.sum("n").alias("n"))
+    counts = stage(verified.groupBy("rep").agg(F.sum("n").alias("n")), "counts")
     return copies, counts, verified.select(F.col("rep").alias("a"), F.col("to").alias("b"))
 
 
@@ -224,7 +224,7 @@ def dedup(vectors: DataFrame, least: float = LINKED) -> DataFrame:
     copies, counts, edges = links(vectors, least)
     of = components(edges)
     linked = copies.join(counts, "rep", "left").join(of, F.col("rep") == F.col("node"), "left")
-    linked = linked.select("row", "vec_id", (F.coalesce(F.col("same") - 1, F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "rep", "row").alias("component"))
-    # sums up on the map side, so a large component arrives once from each task
-    first = linked.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    linked = stage(linked.select("row", "vec_id", (F.coalesce(F.col("same") - 1, F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "rep", "row").alias("component")), "linked")
+    # sums up on the map side, so a large component arrives once from each task; written, so that the join on it can be split
+    first = stage(linked.groupBy("component").agg(F.min("vec_id").alias("component_id")), "firsts")
     return linked.join(first, "component").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

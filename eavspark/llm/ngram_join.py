@@ -5,10 +5,10 @@ fixed depth, and documents that share it meet. The depths come from a formula, b
 data is seen: from full depth, they are shortened one run at a time until a pair at the
 threshold is met with the target probability. This is banded LSH and stands in for an LSH
 forest, whose tries would let each document shorten its prefixes by what it meets. What meets
-is verified by the n-grams themselves, exactly.
+is linked if sketches of the signatures allow similar documents to be connected by it; what is so connected is verified by the n-grams themselves, exactly.
 
 Equal sets of n-grams are one row throughout. Candidates are never listed as pairs: a
-prefix links its members to the first of them, the groups which that gives are compared
+prefix links its members to its first (to further ones, where they have little in common with that), the groups which that gives are compared
 inside blocks of bounded size, and only each row's count of links and the edges that
 connect it leave a block.
 """
@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eavspark.llm.embed_dedup import roots
-from eavspark.llm.shared import block_pairs, components, map_groups, stage
-from eavspark.llm.words import grams, mix, word_hashes
+from eavspark.llm.shared import block_pairs, components, drop, map_groups, plausible, stage
+from eavspark.llm.words import grams, mix, words_of
 
 WORDS, SIMILAR = 5, 0.8
 TREES, DEPTH, RECALL = 24, 8, 0.9995
+#: Bits of each hash in a sketch. Pairs at the threshold differ in so many standard deviations more than expected at most.
+BITS, SPREAD = 4, 6
 #: Sets of so many n-grams at most are compared by all 64 bits of them; in larger ones equal halves by chance don't matter.
 SMALL = 16
 
@@ -42,6 +44,21 @@ def prefixes(similar: float = SIMILAR, recall: float = RECALL, trees: int = TREE
     return out
 
 
+def near_bits(similar: float = SIMILAR) -> int:
+    """Bits in which the sketches of a pair at the threshold differ at most.
+
+    Each of the hashes is another one with probability 1 - similar, and then half of its bits differ.
+    """
+    n, p = TREES * DEPTH, 1 - similar
+    return int(np.ceil(n * p * BITS / 2 + SPREAD * np.sqrt(n * (p * (BITS / 4 + BITS**2 / 4) - (p * BITS / 2) ** 2))))
+
+
+def sketch(signed: np.ndarray) -> list[int]:
+    """BITS bits of each hash, as longs."""
+    low = (mix(signed) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    return np.packbits(np.unpackbits(low[:, None], axis=1)[:, -BITS:]).view(np.int64).tolist()
+
+
 def signature(shingles: np.ndarray, hashes: int) -> np.ndarray:
     """MinHash values of a set of 32-bit n-grams: each hash is a multiply and shift of its own."""
     rng = np.random.default_rng(1234567)
@@ -55,34 +72,35 @@ def signature(shingles: np.ndarray, hashes: int) -> np.ndarray:
 
 
 def sets(documents: DataFrame, words: int, depths: list[int], depth: int, keep: str | None) -> DataFrame:
-    """row, doc_id, same (digest of the set), size, shingles (sorted 32-bit, as differences), full (64-bit, of a small set), keys (a tree's prefix each)."""
+    """row, doc_id, same (digest of the set), size, shingles (sorted 32-bit, as differences), full (64-bit, of a small set), keys (a tree's prefix each), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.array([k for t, d in enumerate(depths) for k in range(t * depth, t * depth + d)])
         start = np.concatenate([[0], np.cumsum(depths)[:-1]])
         salt = mix(np.arange(1, len(place) + 1, dtype=np.uint64))
         for batch in batches:
-            for part in range(0, batch.num_rows, 256):
-                rows = batch.slice(part, 256)
-                same, size, data, full, keys = [], [], [], [], []
-                for text in rows["text"]:
-                    whole = np.unique(grams(word_hashes(text.as_py()), words))
+            for part in range(0, batch.num_rows, 128):
+                rows = batch.slice(part, 128)
+                same, size, data, full, keys, sketches = [], [], [], [], [], []
+                hashed, counts = words_of(rows["text"].to_pylist())
+                for own in np.split(hashed, np.cumsum(counts)[:-1]):
+                    whole = np.unique(grams(own, words))
                     found = np.unique((whole >> np.uint64(32)).astype(np.uint32))
                     raw = np.diff(found, prepend=np.uint32(0)).tobytes()
                     size.append(len(found)), data.append(raw), same.append(hashlib.blake2b(whole.tobytes(), digest_size=16).digest())
                     full.append(whole.tobytes() if len(whole) <= SMALL else b"")
                     if len(found):
-                        signed = signature(found, len(depths) * depth)[place]
-                        keys.append(np.add.reduceat(mix(signed + salt), start).astype(np.int64).tolist())
+                        signed = signature(found, len(depths) * depth)
+                        keys.append(np.add.reduceat(mix(signed[place] + salt), start).astype(np.int64).tolist()), sketches.append(sketch(signed))
                     else:
-                        keys.append([])
+                        keys.append([]), sketches.append([])
                 yield pa.RecordBatch.from_arrays(
-                    [rows["doc_id"], rows["kept_key"], pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(data, pa.binary()), pa.array(full, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "kept_key", "same", "size", "shingles", "full", "keys"],
+                    [rows["doc_id"], rows["kept_key"], pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(data, pa.binary()), pa.array(full, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                    ["doc_id", "kept_key", "same", "size", "shingles", "full", "keys", "sketch"],
                 )
 
     found = documents.select(F.col("doc_id").cast("long"), (F.col(keep) if keep else F.lit(0)).cast("long").alias("kept_key"), "text")
-    found = found.mapInArrow(run, "doc_id long, kept_key long, same binary, size long, shingles binary, full binary, keys array<long>")
+    found = found.mapInArrow(run, "doc_id long, kept_key long, same binary, size long, shingles binary, full binary, keys array<long>, sketch array<long>")
     return stage(found.withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
@@ -120,15 +138,14 @@ def links(documents: DataFrame, words: int = WORDS, similar: float = SIMILAR, re
     """
     all_sets = sets(documents, words, prefixes(similar, recall), DEPTH, keep)
     slim = all_sets.select("row", "doc_id", "kept_key", F.when(F.col("size") > 0, F.col("same")).otherwise(F.encode(F.col("row").cast("string"), "UTF-8")).alias("same_as"), "size")
-    reps = slim.groupBy("same_as").agg(F.min("row").alias("rep"), F.count("*").alias("same"))
+    # written, as other sums below, so that the join on a hot key is one which adaptive execution splits
+    reps = stage(slim.groupBy("same_as").agg(F.min("row").alias("rep"), F.count("*").alias("same")), "reps")
     copies = stage(slim.join(reps, "same_as").select("row", "doc_id", "kept_key", "rep", "same", "size"), "copies")
-    # a prefix in a tree links its members to the first of them
     only = copies.where("row = rep AND size > 0").select("row", "same")
-    members = all_sets.select("row", "keys").join(only, "row").select("row", "same", F.posexplode("keys").alias("tree", "key"))
-    members = stage(members.select("row", "tree", "key"), "prefixes")
-    firsts = members.groupBy("tree", "key").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
-    meets = members.join(firsts, ["tree", "key"]).where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
-    groups = components(meets)
+    members = stage(all_sets.select("row", "keys").join(only, "row").select(F.explode("keys").alias("key"), F.col("row").alias("node")), "prefixes")
+    met = plausible(members, all_sets.select(F.col("row").alias("node"), "sketch"), near_bits(similar))
+    drop(members, reps)
+    groups = components(met)
     held = groups.join(all_sets.select("row", "size", "shingles", "full"), F.col("node") == F.col("row")).join(only, "row").select("component", "row", "size", "same", "shingles", "full")
     dealt = block_pairs(held, "component", "size", "row")
 
@@ -159,7 +176,8 @@ def links(documents: DataFrame, words: int = WORDS, similar: float = SIMILAR, re
         return pa.table({"rep": rows[some], "n": total[some], "to": root[some]})
 
     found = stage(map_groups(dealt, ["component", "_i", "_j"], compare, "rep long, n long, to long"), "links")
-    return copies, found.groupBy("rep").agg(F.sum("n").alias("n")), found.select(F.col("rep").alias("a"), F.col("to").alias("b"))
+    drop(met, all_sets)
+    return copies, stage(found.groupBy("rep").agg(F.sum("n").alias("n")), "counts"), found.select(F.col("rep").alias("a"), F.col("to").alias("b"))
 
 
 def classes(documents: DataFrame, words: int = WORDS, similar: float = SIMILAR, recall: float = RECALL, keep: str | None = None) -> DataFrame:
@@ -178,7 +196,8 @@ def classes(documents: DataFrame, words: int = WORDS, similar: float = SIMILAR,
         "row", "doc_id", "kept_key", (F.when(F.col("size") > 0, F.col("same") - 1).otherwise(0) + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("component", "rep").alias("component"),
     )
+    linked = stage(linked, "linked")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
-    first = linked.groupBy("component").agg(F.min(place).alias("first"))
+    first = stage(linked.groupBy("component").agg(F.min(place).alias("first")), "firsts")
     out = ["doc_id", F.col("first.doc_id").alias("class_id"), "n_links", (F.col("row") == F.col("first.row")).alias("kept")]
     return linked.join(first, "component").select(*out, *([F.col("kept_key").alias(keep)] if keep else []))

@@ -413,3 +413,16 @@ def test_short_texts_that_share_half_a_hash(spark):
     assert len(rows) == 6
     got = ngram_join.classes(spark.createDataFrame([(k, t, *REST) for k, t in rows], SCHEMA)).collect()
     assert sorted((r.doc_id, r.class_id, r.n_links, r.kept) for r in got) == [(k, k, 0, True) for k in range(6)]
+
+
+def test_sketches_of_similar_sets():
+    rng = np.random.default_rng(3)
+    apart = []
+    for n in (40, 400):
+        for _ in range(150):
+            both, one, two = (rng.integers(0, 1 << 32, k, np.uint64) for k in (8 * n, n, n))
+            a, b = (ngram_join.sketch(ngram_join.signature(np.unique(np.concatenate([both, x])).astype(np.uint32), ngram_join.TREES * ngram_join.DEPTH)) for x in (one, two))
+            apart.append(sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b)))
+    assert max(apart) < ngram_join.near_bits() and 60 < np.mean(apart) < 95
+    far = [ngram_join.sketch(ngram_join.signature(rng.integers(0, 1 << 32, 300, np.uint64).astype(np.uint32), ngram_join.TREES * ngram_join.DEPTH)) for _ in range(40)]
+    assert min(sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b)) for a, b in zip(far, far[1:])) > 2 * ngram_join.near_bits()
