@@ -92,6 +92,19 @@ ORACLES = {
         k AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY 1)
         SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, doc_id = class_id AS kept FROM c LEFT JOIN k USING (doc_id)
     """,
+    "op4_embed_dedup": """
+        WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        f AS (SELECT r, vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM v
+              WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        u AS (SELECT r, vec_id, label, n, list_transform(e, lambda x: x / n) AS e FROM f WHERE n > 0),
+        p AS (SELECT a.r AS a, b.r AS b, CASE WHEN len(a.e) = len(b.e) THEN list_inner_product(a.e, b.e) ELSE 0 END AS c FROM u a JOIN u b ON a.label = b.label AND a.r < b.r),
+        l AS (SELECT a, b FROM p WHERE c >= 0.98),
+        d AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        w AS (SELECT r, r AS o FROM v UNION SELECT w.r, d.b FROM w JOIN d ON w.o = d.a),
+        c AS (SELECT w.r, min(v.vec_id) AS component_id FROM w JOIN v ON w.o = v.r GROUP BY 1),
+        k AS (SELECT a AS r, count(*) AS n FROM d GROUP BY 1)
+        SELECT vec_id, coalesce(k.n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c USING (r) LEFT JOIN k USING (r)
+    """,
     "op9_warc": r"""
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
         h AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first FROM p),
