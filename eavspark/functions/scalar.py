@@ -9,6 +9,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,8 +47,10 @@ def check_call(e) -> None:
         pattern = e.args[1].value
         try:
             re.compile(pattern)
-        except re.error as why:
-            raise QueryError(f"invalid regex pattern for regexp_like `{pattern}`: {why}") from why
+            if SparkContext._jvm is not None:  # the dialect that runs it
+                SparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+        except (re.error, Py4JJavaError, PySparkException) as why:
+            raise QueryError(f"invalid regex pattern for regexp_like `{pattern}`: {str(why).splitlines()[0]}") from why
         if ABSENT.search(pattern):
             raise QueryError(f"invalid regex pattern for regexp_like `{pattern}`: look-around and back-references are not supported")
         return

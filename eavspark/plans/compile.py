@@ -387,40 +387,34 @@ class OneOf(q.Or):
 
 
 class Fixpoint:
-    """Rules by rounds: each round evaluates the bodies over the rows so far, until none is new."""
+    """Rules by rounds: each evaluates the bodies over the rows that the round before found, until none is new.
 
-    MOST = 64
+    A body that calls its rule more than once takes the new rows in one call after the other, and all rows in the others.
+    """
+
+    MOST = 10_000
 
     def __init__(self, compiler: Compiler):
         self.c = compiler
 
     def rows(self, call: q.Rule) -> Relation:
         c = self.c
-        bodies = c.rules[call.name]
         heads = [q.Var(f"?__{call.name}_{k}") for k in range(len(call.args))]
-        known: Relation | None = None
-        before = -1
+        known = new = self.settled(self.round(call.name, heads, None, None))
+        if known is None:
+            raise QueryError(f"rule {call.name} has no body without itself")
         for _ in range(self.MOST):
-            found = None
-            for formal, body in bodies:
-                renamed = {v: h for v, h in zip(formal, heads)}
-                inner = [rename(x, renamed, next(c.fresh)) for x in body]
-                calls = [x for x in inner if isinstance(x, q.Rule) and x.name == call.name]
-                if calls and known is None:
-                    continue
-                rel = None
-                for x in calls:
-                    one = Relation(known.df.select(*[col(h).alias(a.name) for h, a in zip(heads, x.args)]), {a: known.types[h] for h, a in zip(heads, x.args)})
-                    rel = one if rel is None else rel.join(one)
-                one = c.scope([x for x in inner if x not in calls], rel).select(heads)
-                found = one if found is None else found.union(one)
-            found = found if known is None else known.union(found)
-            df = found.df.distinct()
-            df = df.checkpoint() if c.spark.sparkContext.getCheckpointDir() else df.persist()
-            known, count = Relation(df, found.types), df.count()
-            if count == before or not any(isinstance(x, q.Rule) for _, b in bodies for x in b):
+            found = self.round(call.name, heads, known, new)
+            if found is None:
+                break
+            every = known.union(found)
+            if every.types == known.types:
+                new = self.settled(Relation(found.df.distinct().join(known.df, found.df.columns, "left_anti").select(*known.df.columns), known.types))
+            else:  # a type that joins two others: all rows are new under it
+                new = self.settled(Relation(every.df.distinct(), every.types))
+            if new.df.isEmpty():
                 break
-            before = count
+            known = self.settled(Relation(known.df.unionByName(new.df), known.types), known) if every.types == known.types else new
         else:
             raise QueryError(f"rule {call.name} did not settle in {self.MOST} rounds")
         columns, kinds = [], {}
@@ -434,6 +428,38 @@ class Fixpoint:
                 kinds[a] = known.types[h]
         return Relation(df.select(*columns).distinct(), kinds)
 
+    def round(self, name: str, heads: list, known: Relation | None, new: Relation | None) -> Relation | None:
+        """What the bodies give: of the first round those without the rule itself, of others those with it."""
+        c, out = self.c, None
+        for formal, body in c.rules[name]:
+            own = [x for x in body if isinstance(x, q.Rule) and x.name == name]
+            if bool(own) != (known is not None):
+                continue
+            for turn in range(max(1, len(own))):
+                renamed = {v: h for v, h in zip(formal, heads)}
+                inner = [rename(x, renamed, next(c.fresh)) for x in body]
+                calls = [x for x in inner if isinstance(x, q.Rule) and x.name == name]
+                rel = None
+                for k, x in enumerate(calls):
+                    of = new if k == turn else known
+                    one = Relation(of.df.select(*[col(h).alias(a.name) for h, a in zip(heads, x.args)]), {a: of.types[h] for h, a in zip(heads, x.args)})
+                    rel = one if rel is None else rel.join(one)
+                one = c.scope([x for x in inner if x not in calls], rel).select(heads)
+                out = one if out is None else out.union(one)
+        return out and Relation(out.df.distinct(), out.types)
+
+    def settled(self, rel: Relation | None, old: Relation | None = None) -> Relation | None:
+        """The rows, cut from their lineage in the checkpoint folder; without one they are cached, and those before let go."""
+        if rel is None:
+            return None
+        if self.c.spark.sparkContext.getCheckpointDir():
+            return Relation(rel.df.checkpoint(), rel.types)
+        out = Relation(rel.df.persist(), rel.types)
+        out.df.count()
+        if old is not None:
+            old.df.unpersist()
+        return out
+
 
 def rename(x, names: dict, n: int):
     """A rule's clause with its formal variables renamed, and the others made its own."""

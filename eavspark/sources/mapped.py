@@ -118,8 +118,10 @@ class MappedTables(FactSource):
         row = F.col("_metadata.row_index")
         if len(files) <= 1:
             return row
-        names = F.array(*[F.lit(f) for f in files])
-        return F.shiftleft((F.array_position(names, F.col("_metadata.file_path")) - 1).cast("long"), FILE_BITS) + row
+        place = F.array_position(F.array(*[F.lit(f) for f in files]), F.col("_metadata.file_path"))
+        # a file under another spelling of its name must not take the ids of another
+        known = F.when(place > 0, place - 1).otherwise(F.raise_error(F.concat(F.lit("a file that the table did not list: "), F.col("_metadata.file_path"))).cast("long"))
+        return F.shiftleft(known.cast("long"), FILE_BITS) + row
 
     def star(self, attributes, basis=None):
         table = self.known[attributes[0].ident][0]
