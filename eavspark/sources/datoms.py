@@ -11,10 +11,12 @@ import json
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from eavspark.functions.values import MEMBER, MEMBERS
 from eavspark.sources.base import Attribute, FactSource
@@ -53,8 +55,7 @@ class DatomSource(FactSource):
         paths = self.files(attribute.id) if self.files else []
         if paths:
             return self.spark.read.schema(COLUMNS).parquet(*paths).where(F.col("a") == attribute.id).drop("a")
-        own = [r[:-1] for r in self.recent if r[-1] == attribute.id]
-        return self.spark.createDataFrame(own, T.StructType([f for f in COLUMNS.fields if f.name != "a"]))
+        return frame(self.spark, [r for r in self.recent if r[-1] == attribute.id]).drop("a")
 
     def scan(self, attribute, basis=None, with_tx=False):
         v = F.col(f"v_{MEMBER[attribute.kind]}")
@@ -68,6 +69,13 @@ class DatomSource(FactSource):
         return latest.select("e", "v", *([transaction(F.col("last.tx"))] if with_tx else []))
 
 
+def frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """Rows of COLUMNS as a DataFrame, by way of Arrow: no Python worker reads them."""
+    schema = to_arrow_schema(COLUMNS)
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema), COLUMNS)
+
+
 def transaction(number: Column) -> Column:
     """The entity of a transaction, which has facts of its own."""
     return (F.lit(entity_id(TX_PART, 0)) + number).alias("tx")
