@@ -191,11 +191,14 @@ def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn ``labels.quality`` from the rows of statistics whose fold isn't held out.
 
     A document with several labels has their largest; null labels and ids are left out.
-    At most ``sample`` rows, in the order of a hash of their id, come to the driver.
+    At most ``sample`` rows, in the order of a hash of their id, come to the driver; of rows of one id the
+    one with the least statistics counts.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(crc_mod4(F.col("doc_id")) != 2)
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = rows.join(F.broadcast(known), "doc_id").select("doc_id", *NAMES, "quality").toArrow()
+    # the sample is at most so many pairs of an id and a label
+    met = rows.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*NAMES, "quality")).alias("s"))
+    got = met.select("doc_id", "s.*").toArrow()
     table = np.stack([got[c].to_numpy().astype(float) for c in ("doc_id", *NAMES, "quality")], axis=1)
     table = table[np.lexsort(table.T[::-1])]
     return train(table[:, 1:-1], (table[:, -1] > 0).astype(float))

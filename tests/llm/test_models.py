@@ -25,6 +25,47 @@ def test_languages_held_out(spark, documents):
     assert {r.doc_id for r in got} == {r.doc_id for r in documents.where(crc_mod4(F.col("doc_id")) == 2).collect()}
 
 
+def plain_nearest(model, text):
+    """The nearest centroid's language and cosine, n-gram by n-gram."""
+    cleaned, last = " ", " "
+    for c in text.lower():
+        c = c if c.isalpha() else " "
+        if c != " " or last != " ":
+            cleaned += c
+        last = c
+    cleaned += "" if cleaned.endswith(" ") else " "
+    held, wrap = {}, (1 << 64) - 1
+    for n in (2, 3):
+        for k in range(len(cleaned) - n + 1):
+            a, b, *rest = map(ord, cleaned[k : k + n])
+            h = (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) & wrap
+            if rest:
+                h = (h * 0x165667B19E3779F9 + rest[0] * 0xD6E8FEB86659FD93) & wrap
+            held[h >> 51] = held.get(h >> 51, 0) + 1
+    weight = {k: np.log1p(n) * float(model.idf[k]) for k, n in held.items()}
+    size = sum(v * v for v in weight.values()) ** 0.5
+    cosines = [sum(v * float(c[k]) for k, v in weight.items()) / size for c in model.centroids]
+    best = int(np.argmax(cosines))
+    return model.languages[model.of[best]], min(1, max(0, cosines[best]))
+
+
+def test_languages_are_of_the_nearest_centroid(spark, documents):
+    model = langid.fit(documents)
+    some = documents.orderBy("doc_id").limit(60)
+    for r in langid.identify(some, model).collect():
+        if r.text and any(c.isalpha() for c in r.text):
+            lang, cosine = plain_nearest(model, r.text)
+            assert r.lang_pred == lang and abs(r.score - cosine) < 1e-4
+
+
+def test_languages_of_repeated_ids(spark, documents):
+    """Rows of one id are documents of their own, and a bounded sample of them is learned."""
+    rows = [(7, f"the words of number {k} and the rest" if k % 2 else f"und das sind die worte der nummer {k}", "en" if k % 2 else "de", None, 0, 0.0, "", "") for k in range(600)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = langid.predict(docs).collect()
+    assert len(got) == 600 and {r.lang_pred for r in got} <= {"en", "de", "und"}
+
+
 def test_languages_odd_texts(spark, documents):
     model = langid.fit(documents)
     rows = [(1, None), (2, ""), (3, "123 $%"), (4, "ωραία μέρα σήμερα στην πόλη μας " * 9), (5, "the " * 50_000), (None, "the and of to"), (1, None)]
@@ -57,6 +98,16 @@ def test_quality_held_out(spark, documents):
     assert all(r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1 for r in got)
 
 
+def test_quality_is_the_rules_by_hand(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(quality.with_statistics(documents), labels)
+    got = {r.doc_id: r for r in quality.predict(documents, labels).collect()}
+    for r in documents.orderBy("doc_id").limit(150).collect():
+        x = np.array([quality.statistics(r.text)])
+        z = model.intercept + sum(w for rule, w in zip(model.rules, model.weights) if quality.holds(x, rule)[0])
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_quality_odd_inputs(spark, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     odd = spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "", None, None, None), (None, "x " * 60_000, None, None, None), (10**6, None, None, None, None)], documents.schema)

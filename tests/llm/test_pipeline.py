@@ -54,5 +54,20 @@ def test_odd_documents(spark):
     assert empty.count() == 0
 
 
+def test_columns_with_clashing_names(spark):
+    """Columns that a stage uses inside come through with their own values."""
+    names = ["_key", "_KEY2", "_spans", "_copy", "_words", "size", "taken", "rejected", "lang_pred", "score", "row", "words", "component", "class_id", "kept"]
+    long = " ".join(f"word{k}" for k in range(90))
+    rows = [(k, t, "en", "s", 0, *[f"{n}{k}" for n in names]) for k, t in enumerate(["the and of to in is " + long, "with the of and by at on for " + long, "and the cat is in the house", "and the dog is in the garden"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        out = stage(f(spark, docs, SF))
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert all(r[n] == f"{n}{r.doc_id}" for n in names)
+        docs = out
+    assert docs.count() > 0 and corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
+
+
 def test_every_query_is_registered():
     assert {n.split("_")[0] for n in queries.QUERIES} == {*(f"op{k}" for k in range(1, 11)), "pipeline"} and set(queries.ORACLES) <= set(queries.QUERIES)
