@@ -426,3 +426,17 @@ def test_sketches_of_similar_sets():
     assert max(apart) < ngram_join.near_bits() and 60 < np.mean(apart) < 95
     far = [ngram_join.sketch(ngram_join.signature(rng.integers(0, 1 << 32, 300, np.uint64).astype(np.uint32), ngram_join.TREES * ngram_join.DEPTH)) for _ in range(40)]
     assert min(sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b)) for a, b in zip(far, far[1:])) > 2 * ngram_join.near_bits()
+
+
+@pytest.mark.parametrize("changed, least", [(0.1, 0.99), (0.15, 0.97), (0.2, 0.9)])
+def test_recall_of_fuzzy_passages(spark, changed, least):
+    """Of pairs of texts with a passage of 60 words, some changed at random, that agree by SAME: those whose passage is found."""
+    rng, texts, held = random.Random(9), [], []
+    for k in range(150):
+        p = spread(f"p{k}x", 60)
+        q = [w if rng.random() >= changed else f"new{k}x{n}" for n, w in enumerate(p)]
+        if sum(a == b for a, b in zip(p, q)) >= substring.SAME * 60:
+            held.append(len(texts) + 1)
+            texts += [[*spread(f"a{k}x", rng.randrange(40)), *p, *spread(f"b{k}x", rng.randrange(40))], [*spread(f"c{k}x", rng.randrange(40)), *q, *spread(f"d{k}x", rng.randrange(40))]]
+    got = caught(spark, texts)
+    assert len(held) > 60 and np.mean([len(got[k]) >= substring.LEAST for k in held]) >= least
