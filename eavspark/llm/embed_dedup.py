@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eavspark.llm.shared import block_pairs, components, drop, map_groups, plausible, release, stage
+from eavspark.llm.shared import block_pairs, components, dealt_anew, drop, map_groups, plausible, release, stage
 
 LINKED = 0.98
 #: The part of pairs at the bound that meet in a bucket; further buckets that are looked up in each table.
@@ -192,7 +192,7 @@ def links(vectors: DataFrame, least: float = LINKED, recall: float = RECALL, pro
     verified = stage(map_groups(dealt, ["component", "_i", "_j"], compare, "rep long, n long, to long"), "links")
     drop(found, met, usable, reps)
     release(vectors.sparkSession)
-    counts = stage(verified.groupBy("rep").agg(F.sum("n").alias("n")), "counts")
+    counts = dealt_anew(verified.groupBy("rep").agg(F.sum("n").alias("n")), "rep")
     return copies, counts, verified.select(F.col("rep").alias("a"), F.col("to").alias("b"))
 
 
@@ -225,6 +225,6 @@ def dedup(vectors: DataFrame, least: float = LINKED) -> DataFrame:
     of = components(edges)
     linked = copies.join(counts, "rep", "left").join(of, F.col("rep") == F.col("node"), "left")
     linked = stage(linked.select("row", "vec_id", (F.coalesce(F.col("same") - 1, F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "rep", "row").alias("component")), "linked")
-    # sums up on the map side, so a large component arrives once from each task; written, so that the join on it can be split
-    first = stage(linked.groupBy("component").agg(F.min("vec_id").alias("component_id")), "firsts")
+    # sums up on the map side, so a large component arrives once from each task
+    first = dealt_anew(linked.groupBy("component").agg(F.min("vec_id").alias("component_id")), "component")
     return linked.join(first, "component").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

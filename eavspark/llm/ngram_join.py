@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eavspark.llm.embed_dedup import roots
-from eavspark.llm.shared import block_pairs, components, drop, map_groups, plausible, stage
+from eavspark.llm.shared import block_pairs, components, dealt_anew, drop, map_groups, plausible, stage
 from eavspark.llm.words import grams, mix, words_of
 
 WORDS, SIMILAR = 5, 0.8
@@ -138,7 +138,7 @@ def links(documents: DataFrame, words: int = WORDS, similar: float = SIMILAR, re
     """
     all_sets = sets(documents, words, prefixes(similar, recall), DEPTH, keep)
     slim = all_sets.select("row", "doc_id", "kept_key", F.when(F.col("size") > 0, F.col("same")).otherwise(F.encode(F.col("row").cast("string"), "UTF-8")).alias("same_as"), "size")
-    # written, as other sums below, so that the join on a hot key is one which adaptive execution splits
+    # written, so that the join on a hot key is one which adaptive execution splits
     reps = stage(slim.groupBy("same_as").agg(F.min("row").alias("rep"), F.count("*").alias("same")), "reps")
     copies = stage(slim.join(reps, "same_as").select("row", "doc_id", "kept_key", "rep", "same", "size"), "copies")
     only = copies.where("row = rep AND size > 0").select("row", "same")
@@ -177,7 +177,7 @@ def links(documents: DataFrame, words: int = WORDS, similar: float = SIMILAR, re
 
     found = stage(map_groups(dealt, ["component", "_i", "_j"], compare, "rep long, n long, to long"), "links")
     drop(met, all_sets)
-    return copies, stage(found.groupBy("rep").agg(F.sum("n").alias("n")), "counts"), found.select(F.col("rep").alias("a"), F.col("to").alias("b"))
+    return copies, dealt_anew(found.groupBy("rep").agg(F.sum("n").alias("n")), "rep"), found.select(F.col("rep").alias("a"), F.col("to").alias("b"))
 
 
 def classes(documents: DataFrame, words: int = WORDS, similar: float = SIMILAR, recall: float = RECALL, keep: str | None = None) -> DataFrame:
@@ -198,6 +198,6 @@ def classes(documents: DataFrame, words: int = WORDS, similar: float = SIMILAR,
     )
     linked = stage(linked, "linked")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
-    first = stage(linked.groupBy("component").agg(F.min(place).alias("first")), "firsts")
+    first = dealt_anew(linked.groupBy("component").agg(F.min(place).alias("first")), "component")
     out = ["doc_id", F.col("first.doc_id").alias("class_id"), "n_links", (F.col("row") == F.col("first.row")).alias("kept")]
     return linked.join(first, "component").select(*out, *([F.col("kept_key").alias(keep)] if keep else []))

@@ -141,28 +141,36 @@ def running_total(df: DataFrame, order: list[str], value: str, keys: list[str] =
     )
 
 
+def dealt_anew(sums: DataFrame, key: str) -> DataFrame:
+    """Sums by a long ``key``, for a join on it which adaptive execution can split where the key is hot.
+
+    It splits a join of two exchanges, but not one that also sums in its stage. Through an expression the planner
+    doesn't see that the sums lie by their key already, and deals those few rows once more.
+    """
+    return sums.withColumn(key, F.bitwise_not(F.bitwise_not(F.col(key))))
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components: (node, component), component the smallest node reachable.
 
     ``edges`` has long columns ``a`` and ``b``. Alternates the large-star and small-star
     steps until nothing changes. Neighbourhoods are never gathered: each step takes a
-    minimum per node (which Spark sums before it shuffles), writes it and joins it back: a join
-    of two tables on a hot node is one which adaptive execution splits, while one that sums in the same stage is not. Every round is written to the
+    minimum per node (which Spark sums before it shuffles) and joins it back, dealt anew
+    (``dealt_anew``), so that adaptive execution splits the join on a hot node. Every round is written to the
     shared folder.
     """
     now = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     seen = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+        least = dealt_anew(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "a")
         # large star: the larger neighbours of a node go to the least of its neighbourhood
-        large = stage(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        drop(least)
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a node and its smaller neighbours go to the least of them
-        least = stage(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        least = dealt_anew(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
         after = stage(small.where("a <> b").distinct(), "edges")
-        drop(now, least, large)
+        drop(now)
         now = after
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
@@ -189,9 +197,9 @@ def plausible(members: DataFrame, sketches: DataFrame, near: int, rounds: int =
     apart = F.aggregate(F.zip_with("sketch", "of", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     left, found, made = members, None, []
     for k in range(rounds + 1):
-        firsts = stage(left.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "firsts")
+        firsts = dealt_anew(left.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "key")
         pairs = stage(left.join(firsts, "key").where("node <> first").select("key", "node", "first"), "pairs")
-        made += [pairs, firsts]
+        made.append(pairs)
         links = pairs.select("node", "first")
         if k < rounds:
             judged = stage(links.distinct().join(sketches, "node").join(other, "first").select("node", "first", apart.alias("apart")), "judged")
@@ -215,8 +223,7 @@ def block_pairs(df: DataFrame, key: str, weight: str, row: str, most_rows: int =
     """
     sizes = df.groupBy(key).agg(F.count("*").alias("_n"), F.sum(weight).alias("_w")).where("_n > 1")
     blocks = F.greatest(F.ceil(F.col("_n") / most_rows), F.ceil(F.col("_w") / most_weight)).cast("int")
-    # written, so that the join on a hot group is one which adaptive execution splits
-    dealt = df.join(stage(sizes.select(key, blocks.alias("_blocks")), "sizes"), key)
+    dealt = df.join(dealt_anew(sizes.select(key, blocks.alias("_blocks")), key), key)
     dealt = dealt.withColumn("_block", F.pmod(F.xxhash64(row), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return dealt.withColumns({"_i": F.least("_block", "_other"), "_j": F.greatest("_block", "_other")}).drop("_other", "_blocks")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eavspark.llm import embed_dedup, ngram_join, substring
 from eavspark.llm.shared import block_pairs, components, plausible
-from eavspark.llm.words import grams, word_hashes
+from eavspark.llm.words import grams, mix, word_hashes, words_of
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, rep long, component long, key long, size long"
@@ -406,7 +406,8 @@ def test_seeds_of_changed_passages():
 
 def test_short_texts_that_share_half_a_hash(spark):
     texts = [f"word{k}" for k in range(400_000)]
-    half = np.array([grams(word_hashes(w), 5)[0] >> np.uint64(32) for w in texts])
+    half = mix(words_of(texts)[0]) >> np.uint64(32)  # a text of one word is one n-gram
+    assert half[7] == grams(word_hashes(texts[7]), 5)[0] >> np.uint64(32)
     order = np.argsort(half, kind="stable")
     at = np.flatnonzero(np.diff(half[order]) == 0)[:3]
     rows = [(k, texts[order[j]]) for k, j in enumerate(np.concatenate([at, at + 1]).tolist())]
