@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,31 +97,23 @@ def pack(documents: DataFrame, vocabulary: str | None = None, end: int = END, wi
     """
     rows = tokenized(documents, vocabulary or tokens.path("word_bpe_49k.json"), end)
     pieces = plan(rows, window, packet, weights)
-    of = pieces.groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
+    of = pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "length", "sequence_id", "offset"))).alias("pieces"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in range(0, batch.num_rows, 256):
                 rows = batch.slice(part, 256)
-                which, out, ids = [], {k: [] for k in ("start", "length", "sequence_id", "offset", "ids_crc32")}, []
-                for k in range(rows.num_rows):
-                    all_ids = np.frombuffer(rows["ids"][k].as_buffer(), "<u2").astype("<u4")
-                    for piece in rows["pieces"][k].as_py():
-                        own = all_ids[piece["start"] : piece["start"] + piece["length"]]
-                        which.append(k)
-                        for c in piece:
-                            out[c].append(piece[c])
-                        out["ids_crc32"].append(zlib.crc32(own.tobytes()))
-                        ids.append(own)
-                take = rows.take(pa.array(which, pa.int64()))
-                ends = np.cumsum([0, *map(len, ids)])
-                flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
+                # pieces in the order of a document's ids: so the ids follow one another as they are
+                start, length, sequence, offset = rows["pieces"].flatten().flatten()
+                take = rows.take(pa.array(np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows["pieces"]).to_numpy())))
+                ids = np.frombuffer(b"".join(rows["ids"].to_pylist()), "<u2").astype("<u4")
+                ends = np.append(0, np.cumsum(length.to_numpy()))
+                raw = memoryview(ids.tobytes())
+                crcs = [zlib.crc32(raw[a:b]) for a, b in zip((4 * ends[:-1]).tolist(), (4 * ends[1:]).tolist())]
                 columns = {
-                    "doc_id": take["doc_id"], "start": pa.array(out["start"], pa.int64()), "length": pa.array(out["length"], pa.int64()),
-                    "ids_crc32": pa.array(out["ids_crc32"], pa.int64()), "doc_tokens": take["n_ids"], "sequence_id": pa.array(out["sequence_id"], pa.int64()),
-                    "offset": pa.array(out["offset"], pa.int64()), "source": take["source"],
-                    "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
-                }
+                    "doc_id": take["doc_id"], "start": start, "length": length, "ids_crc32": pa.array(crcs, pa.int64()), "doc_tokens": take["n_ids"], "sequence_id": sequence,
+                    "offset": offset, "source": take["source"], "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32))),
+                }
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids array<int>"
