@@ -6,12 +6,13 @@ list of its chunks' digests with a Merkle root over them; a manifest has the Mer
 root of each recipe file and of the whole. Layout under the store's folder:
 
     chunks/   digest binary, n int, data binary (zstd of 16-bit little-endian ids)
-    recipes/  doc_id, start, n_tokens, digests array<binary>, root binary; files and rows in ascending doc_id
+    recipes/  doc_id, start, n_tokens, digests array<binary>, sizes array<long> (ids of each chunk), root binary; files and rows in ascending doc_id
     manifest/ file string, documents long, first long (ids before its first document), root binary
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -24,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eavspark.llm import tokens
-from eavspark.llm.shared import boundaries, map_groups, map_tables, partitions, release, running_total, stage
+from eavspark.llm.shared import boundaries, map_groups, partitions, release, running_total, stage
 
 END = 2
 #: Ids of a chunk: at least, at most; and the bits that cut, so 64 + 512 on average.
 LEAST, MOST, BITS = 64, 4096, 9
 CHUNKS = "key binary, n long, data binary"
-RECIPES = "doc_id long, start long, n_tokens long, digests array<binary>, root binary"
+RECIPES = "doc_id long, start long, n_tokens long, digests array<binary>, sizes array<long>, root binary"
 MANIFEST = "file string, documents long, first long, root binary"
 #: The rolling window is 2 ** STEPS ids.
 STEPS, FACTOR = 4, 0x9E3779B97F4A7C15
@@ -90,7 +91,7 @@ def write(documents: DataFrame, path: str, vocabulary: str | None = None, end: i
                 for doc_id, text in zip(batch["doc_id"].slice(part, 256).to_pylist(), batch["text"].slice(part, 256)):
                     raw = of(text.as_py() or "") + tail
                     ids, recipe, last = np.frombuffer(raw, "<u2"), [], 0
-                    for stop in cuts(ids):
+                    for stop in (ends := cuts(ids)):
                         data = raw[2 * last : 2 * stop]
                         digest = hashlib.sha256(data).digest()
                         recipe.append(digest)
@@ -100,7 +101,7 @@ def write(documents: DataFrame, path: str, vocabulary: str | None = None, end: i
                             sent.add(digest)
                             keys.append(digest), kinds.append(0), ids_.append(None), ns.append(stop - last), datas.append(squeeze(data))
                         last = stop
-                    whole = b"".join(recipe)
+                    whole = b"".join(recipe) + np.diff(ends, prepend=0).astype("<u4").tobytes()
                     keys.append(hashlib.sha256(b"%d" % (doc_id or 0) + whole).digest()), kinds.append(1), ids_.append(doc_id), ns.append(len(ids)), datas.append(whole)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys, pa.binary()), pa.array(kinds, pa.int32()), pa.array(ids_, pa.int64()), pa.array(ns, pa.int64()), pa.array(datas, pa.binary())],
@@ -139,10 +140,12 @@ def write(documents: DataFrame, path: str, vocabulary: str | None = None, end: i
 
     def root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [[x[k : k + 32] for k in range(0, len(x), 32)] for x in batch["data"].to_pylist()]
+            held = batch["data"].to_pylist()
+            lists = [[x[k : k + 32] for k in range(0, len(x) // 36 * 32, 32)] for x in held]
+            sizes = [np.frombuffer(x[len(x) // 36 * 32 :], "<u4").tolist() for x in held]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["start"], batch["n"], pa.array(lists, pa.list_(pa.binary())), pa.array([merkle(x) for x in lists], pa.binary())],
-                ["doc_id", "start", "n_tokens", "digests", "root"],
+                [batch["doc_id"], batch["start"], batch["n"], pa.array(lists, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int64())), pa.array([merkle(x) for x in lists], pa.binary())],
+                ["doc_id", "start", "n_tokens", "digests", "sizes", "root"],
             )
 
     placed.select("doc_id", "start", "n", "data").mapInArrow(root, RECIPES).repartitionByRange(partitions(spark), "start").sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{path}/recipes")
@@ -160,37 +163,40 @@ def roots(spark: SparkSession, path: str) -> DataFrame:
     return map_groups(held.select(F.col("_metadata.file_name").alias("file"), "start", "doc_id", "root"), ["file"], root, MANIFEST, ["start", "doc_id", "root"])
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Documents put together again from their chunks: doc_id, start, n_tokens, ids, verified.
-
-    ids are little-endian of 16 bits, without what a lost chunk held. verified is true if each chunk that the recipe names is there and has
-    the ids of its digest, if their digests make the recipe's Merkle root, and if the manifest's root of
-    the recipe's file is that of the recipes in it. No damage takes a row away whose recipe can be read.
-    """
-    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("*", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("row"))
-    recipes = stage(recipes, "recipes")
-    stored = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").select(F.col("key").alias("digest"), "data")
-    parts = recipes.select("row", F.posexplode("digests").alias("k", "digest")).join(stored, "digest", "left").select("row", "k", "digest", "data")
+def recipes(spark: SparkSession, path: str) -> DataFrame:
+    """The recipes as they are read back: doc_id, start (no two have the same), digests, sizes, and whether digests and sizes make the root and the count, and the manifest has their file so."""
     said = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
     real = roots(spark, path).select("file", F.col("documents").alias("n"), F.col("root").alias("found"))
     files = real.join(said, "file", "left").select("file", F.coalesce((F.col("n") == F.col("documents")) & (F.col("found") == F.col("root")), F.lit(False)).alias("listed"))
-    heads = recipes.select("row", F.lit(-1).alias("k"), F.col("root").alias("digest"), F.lit(None).cast("binary").alias("data"), "doc_id", "start", "n_tokens", "file").join(files, "file", "left").drop("file")
+    held = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("*", F.col("_metadata.file_name").alias("file"))
+
+    def sound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [merkle(d) == r and sum(s) == n and len(s) == len(d) for d, s, r, n in zip(*(batch[c].to_pylist() for c in ("digests", "sizes", "root", "n_tokens")))]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "start", "digests", "sizes", "file")), pa.array(good, pa.bool_())], ["doc_id", "start", "digests", "sizes", "file", "sound"])
 
-    def whole(t: pa.Table) -> pa.Table:
-        unpack, keys, data = zstandard.ZstdDecompressor().decompress, t["digest"].to_pylist(), t["data"].to_pylist()
-        at = np.append(boundaries(t, ["row"]), t.num_rows).tolist()
-        ids, good = [], []
-        for low, high in zip(at[:-1], at[1:]):
-            raw = [b"" if x is None else unpacked(unpack, x) for x in data[low + 1 : high]]
-            ids.append(b"".join(raw))
-            good.append(all(hashlib.sha256(x).digest() == k for x, k in zip(raw, keys[low + 1 : high])) and merkle(keys[low + 1 : high]) == keys[low])
-        first = pa.array(at[:-1])
-        listed, n = t["listed"].take(first), t["n_tokens"].take(first)
-        whole = pc.and_(pc.fill_null(listed, False), pc.and_(pa.array(good, pa.bool_()), pc.equal(n, pa.array([len(x) // 2 for x in ids], pa.int64()))))
-        return pa.table([t["doc_id"].take(first), t["start"].take(first), n, pa.array(ids, pa.binary()), pc.fill_null(whole, False)], names=["doc_id", "start", "n_tokens", "ids", "verified"])
+    checked = held.mapInArrow(sound, "doc_id long, start long, digests array<binary>, sizes array<long>, file string, sound boolean")
+    return checked.join(files, "file", "left").withColumn("sound", F.col("sound") & F.coalesce("listed", F.lit(False))).drop("file", "listed")
+
+
+def chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks as read back: digest, n, crc (of 32-bit ids), whole (the digest is that of the ids)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            raw = [unpacked(unpack, x) for x in batch["data"].to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch["key"], pa.array([len(x) // 2 for x in raw], pa.int64()),
+                    pa.array([zlib.crc32(np.frombuffer(x, "<u2").astype("<u4")) for x in raw], pa.int64()),
+                    pa.array([hashlib.sha256(x).digest() == k for x, k in zip(raw, batch["key"].to_pylist())]),
+                ],
+                ["digest", "n", "crc", "whole"],
+            )
 
-    both = heads.unionByName(parts, allowMissingColumns=True)
-    return map_tables(both, ["row"], whole, "doc_id long, start long, n_tokens long, ids binary, verified boolean", ["k"])
+    stored = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
+    return stored.select("key", "data").mapInArrow(read, "digest binary, n long, crc long, whole boolean")
 
 
 def unpacked(unpack, data: bytes) -> bytes:
@@ -201,18 +207,70 @@ def unpacked(unpack, data: bytes) -> bytes:
         return b""
 
 
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Documents put together again from their chunks: doc_id, start, ids (16-bit little-endian bytes; null where a chunk is lost)."""
+    stored = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").select(F.col("key").alias("digest"), "data")
+    parts = recipes(spark, path).select("doc_id", "start", F.posexplode("digests").alias("k", "digest")).join(stored, "digest", "left")
+    whole = parts.groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("k", "data"))).alias("parts"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            ids = [None if any(p["data"] is None for p in x) else b"".join(unpacked(unpack, p["data"]) for p in x) for x in batch["parts"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["start"], pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
+
+    return whole.mapInArrow(join, "doc_id long, start long, ids binary")
+
+
 def digest(spark: SparkSession, path: str) -> DataFrame:
-    """Per document, from its ids as they are read back: doc_id, start, n_tokens, ids_crc32 (of 32-bit ids), verified.
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32, verified.
 
-    n_tokens and ids_crc32 are of the ids that were found; see ``read_ids`` for what is verified.
+    Each chunk's ids are unpacked where they lie and checked against their digest. Its checksum, moved by
+    the ids that follow it in a document, is its part of the document's checksum, and the parts are summed: so the ids
+    themselves don't travel, and a chunk that very many documents share is one row. verified is true
+    if each chunk that the recipe names is there and whole, the digests make the recipe's Merkle root, and the manifest's root of
+    the recipe's file is that of the recipes in it. No damage takes a row away whose recipe can be read; n_tokens and ids_crc32 are then of what was found.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = recipes(spark, path)
+    after = F.expr("transform(sizes, (s, k) -> aggregate(slice(sizes, k + 2, size(sizes)), 0L, (x, y) -> x + y))")
+    parts = held.select("doc_id", "start", "sound", F.explode(F.arrays_zip(F.col("digests").alias("digest"), F.col("sizes").alias("size"), after.alias("after"))).alias("p"))
+    parts = parts.select("doc_id", "start", "sound", "p.*").join(chunks(spark, path), "digest", "left")
+    found = F.coalesce(F.col("whole"), F.lit(False)) & (F.col("n") == F.col("size"))
+    parts = parts.select("doc_id", "start", F.coalesce("n", F.lit(0)).cast("long").alias("n"), (F.col("sound") & F.coalesce(found, F.lit(False))).alias("good"), F.coalesce("crc", F.lit(0)).cast("long").alias("crc"), "after")
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [np.frombuffer(x.as_buffer(), "<u2").astype("<u4") for x in batch["ids"]]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["start"], pa.array([len(x) for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), batch["verified"]],
-                ["doc_id", "start", "n_tokens", "ids_crc32", "verified"],
-            )
-
-    return read_ids(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
+            moved = with_zeros(batch["crc"].to_numpy().astype(np.uint32), 4 * batch["after"].to_numpy())
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "start", "n", "good")), pa.array(moved.astype(np.int64))], ["doc_id", "start", "n", "good", "crc"])
+
+    moved = parts.mapInArrow(move, "doc_id long, start long, n long, good boolean, crc long")
+    of = moved.groupBy("start").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"), F.bool_and("good").alias("verified"))
+    return of.select("doc_id", "start", "n_tokens", "ids_crc32", "verified")
+
+
+def with_zeros(crcs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """CRC-32s as they are after so many zero bytes: each bit of a length is a linear map of the 32 bits, in four tables."""
+    out, k = crcs.astype(np.uint32), 0
+    while (lengths >> k).any():
+        some = np.flatnonzero(lengths >> k & 1)
+        x = out[some]
+        out[some] = with_tables(zeros(k), x)
+        k += 1
+    return out
+
+
+@functools.cache
+def zeros(k: int) -> np.ndarray:
+    """Tables, one for each byte of a CRC, of what 2**k zero bytes make of it."""
+    values = np.arange(256, dtype=np.uint32)[None, :] << (8 * np.arange(4, dtype=np.uint32))[:, None]
+    if k:
+        once = with_tables(zeros(k - 1), values)
+        return with_tables(zeros(k - 1), once)
+    out = values.copy()
+    for _ in range(8):
+        out = np.where(out & np.uint32(1), out >> np.uint32(1) ^ np.uint32(0xEDB88320), out >> np.uint32(1))
+    return out
+
+
+def with_tables(tables: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return functools.reduce(np.bitwise_xor, [tables[b][x >> np.uint32(8 * b) & np.uint32(255)] for b in range(4)])

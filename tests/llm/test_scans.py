@@ -191,6 +191,15 @@ def test_cuts_follow_content():
     assert token_store.cuts(x[:10]) == [10] and max(np.diff([0, *token_store.cuts(np.zeros(9000, "<u2"))])) <= token_store.MOST
 
 
+def test_checksums_moved_by_zeros():
+    rng = np.random.default_rng(1)
+    for lengths in ([0, 5], [5, 0], [100, 3000], [3, 1, 70_000, 4], [1 << 20, 1 << 21]):
+        parts = [rng.bytes(n) for n in lengths]
+        after = np.array([sum(lengths[k + 1 :]) for k in range(len(lengths))])
+        moved = token_store.with_zeros(np.array([zlib.crc32(x) for x in parts], np.uint32), after)
+        assert np.bitwise_xor.reduce(moved) == zlib.crc32(b"".join(parts))
+
+
 def test_running_total(spark):
     rows = [(k % 7, k, k * 3 % 11) for k in range(500)]
     got = running_total(spark.createDataFrame(rows, "s long, k long, v long"), ["k"], "v", ["s"]).collect()
