@@ -25,7 +25,7 @@ BYTE_SPLIT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^
 WORD_SPLIT = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Cached pieces, and the longest that are cached; a full cache starts anew, which costs time only.
-MOST, LONGEST = 700_000, 64
+MOST, LONGEST = 900_000, 64
 
 
 def byte_letters() -> dict[int, int]:
