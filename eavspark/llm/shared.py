@@ -183,7 +183,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     )
 
 
-def plausible(members: DataFrame, sketches: DataFrame, near: int, rounds: int = 8) -> DataFrame:
+def plausible(members: DataFrame, sketches: DataFrame, near: int, rounds: int = 2) -> DataFrame:
     """Links (a, b) such that any two members of one key whose sketches are ``near`` bits apart, or less, are connected.
 
     ``members`` has long columns key and node, ``sketches`` node and an array of longs. The members of a key are
