@@ -105,6 +105,21 @@ class Relation:
         """Rows whose shared variables aren't in the other."""
         return self._filtering(other, "left_anti", True)
 
+    def weighted_by(self, other: Relation, weight: int) -> Relation:
+        """All rows; those whose shared variables are in the other, which is a set, get a weight added to theirs."""
+        on = [v for v in self.types if v in other.types]
+        own = F.col("_w") if self.weight else F.lit(0).cast("long")
+        sides = self._aligned(other, on)
+        if sides is None:
+            return Relation(self.df.withColumn("_w", own), self.types)
+        left, right = sides
+        found = right.df.select(*map(col, on))
+        if len(on) < len(other.types) or not on:
+            found = found.distinct() if on else found.limit(1)
+        found = found.withColumn("_more", F.lit(weight).cast("long"))
+        joined = left.df.join(found, [v.name for v in on] if on else F.lit(True), "left_outer")
+        return Relation(joined.select(*map(col, left.vars), (own + F.coalesce("_more", F.lit(0).cast("long"))).alias("_w")), left.types)
+
     def union(self, other: Relation) -> Relation:
         """Rows of both, with the columns of this one by name; types that differ are tagged."""
         to = {v: common([t, other.types[v]]) for v, t in self.types.items()}

@@ -12,7 +12,7 @@ from __future__ import annotations
 import itertools
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eavspark.functions.aggregate import aggregate
@@ -190,9 +190,7 @@ class Compiler:
                 return found if rel is None else rel.join(found)
             case q.Predicate():
                 rel = rel or Relation.unit(self.spark)
-                value, kind = compile_expr(c.expr, self.typed(rel))
-                test = F.when(value["tag"] == "boolean", value["b"]) if kind == "any" else value if kind == "boolean" else F.lit(False)
-                return rel.where(test)
+                return rel.where(self.holds(c, rel))
             case q.Function():
                 return self.function(c, rel or Relation.unit(self.spark))
             case q.TypeOf():
@@ -209,6 +207,11 @@ class Compiler:
                 return found if rel is None else rel.join(found)
         raise QueryError(f"unsupported clause {c}")
 
+    def holds(self, c: q.Predicate, rel: Relation) -> Column:
+        """Whether a predicate is true of a row; null where it has no value."""
+        value, kind = compile_expr(c.expr, self.typed(rel))
+        return F.when(value["tag"] == "boolean", value["b"]) if kind == "any" else value if kind == "boolean" else F.lit(False)
+
     def function(self, c: q.Function, rel: Relation) -> Relation:
         value, kind = compile_expr(c.expr, self.typed(rel))
         out = c.binding.var

@@ -34,12 +34,15 @@ class DatomSource(FactSource):
     """``files(attribute id)`` names what holds an attribute's rows; ``schema`` is that of the newest transaction, for every basis.
 
     ``recent`` has the rows of a store in memory.
-    ``retracted`` has the attributes of which any fact was ever retracted.
+    ``retracted`` has the attributes of which any fact was ever retracted, ``touched`` for each transaction that is known the attributes that it has rows of.
     """
 
-    def __init__(self, spark: SparkSession, schema: Schema, files: Callable[[int], list[str]] | None = None, recent: list | None = None, retracted: set[int] | None = None):
-        self.spark, self.schema, self.files, self.retracted = spark, schema, files, retracted
+    def __init__(
+        self, spark: SparkSession, schema: Schema, files: Callable[[int], list[str]] | None = None, recent: list | None = None, retracted: set[int] | None = None, touched: dict[int, set[int]] | None = None
+    ):
+        self.spark, self.schema, self.files, self.retracted, self.touched = spark, schema, files, retracted, touched or {}
         self.recent = recent if recent is not None else []
+        self.known: dict[int, DataFrame] = {}
 
     def attribute(self, ident):
         return self.schema.attribute(ident)
@@ -50,12 +53,17 @@ class DatomSource(FactSource):
     def ident(self, name):
         return self.schema.idents.get(name)
 
+    def unchanged(self, attribute: Attribute, before: int, after: int) -> bool:
+        """Whether no transaction between two bases has rows of an attribute; those that are not known may."""
+        return all(attribute.id not in self.touched.get(tx, (attribute.id,)) for tx in range(before + 1, after + 1))
+
     def rows(self, attribute: Attribute) -> DataFrame:
-        """All rows of an attribute, in files or in memory."""
-        paths = self.files(attribute.id) if self.files else []
-        if paths:
-            return self.spark.read.schema(COLUMNS).parquet(*paths).where(F.col("a") == attribute.id).drop("a")
-        return frame(self.spark, [r for r in self.recent if r[-1] == attribute.id]).drop("a")
+        """All rows of an attribute, in files or in memory: one DataFrame for all scans, so that files are listed and rows in memory handed to Spark once."""
+        if attribute.id not in self.known:
+            paths = self.files(attribute.id) if self.files else []
+            all_ = self.spark.read.schema(COLUMNS).parquet(*paths) if paths else frame(self.spark, [r for r in self.recent if r[-1] == attribute.id])
+            self.known[attribute.id] = (all_.where(F.col("a") == attribute.id) if paths else all_).drop("a")
+        return self.known[attribute.id]
 
     def scan(self, attribute, basis=None, with_tx=False):
         v = F.col(f"v_{MEMBER[attribute.kind]}")

@@ -179,12 +179,16 @@ def summed(name: str, datalog: str, columns: str, sql: str) -> None:
     """The result at the first basis and the delta of each transaction after it, added up: it must be the result at the last."""
 
     def run(spark, sf_dir):
-        conn, query, names = store(spark, sf_dir), parse(datalog), columns.split()
+        # in files, and each delta written before the next is planned: a plan holds no rows, and there is never more than one delta's
+        at = folder(spark)
+        conn, query, names = store(spark, sf_dir, f"{at}/store"), parse(datalog), columns.split()
+        source = conn.source()
         total = conn.db(PLACES).q(datalog, columns=names).withColumn("_w", F.lit(1).cast("long"))
         for tx in range(PLACES + 1, UPSERTED + 1):
-            change = delta(spark, conn.source(), query, tx - 1, tx)
+            change = delta(spark, source, query, tx - 1, tx)
             if change is not None:
-                total = total.unionByName(change.toDF(*names, "_w"))
+                change.toDF(*names, "_w").write.parquet(f"{at}/deltas/{tx}")
+                total = total.unionByName(spark.read.schema(total.schema).parquet(f"{at}/deltas/{tx}"))
         weights = total.groupBy(*names).agg(F.sum("_w").alias("_w")).where("_w <> 0")
         # a negative weight would be a row that was never there: it has to show
         return weights.withColumn("_w", F.explode(F.sequence(F.lit(1), F.greatest(F.abs("_w"), F.lit(1))))).drop("_w")

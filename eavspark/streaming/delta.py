@@ -5,7 +5,7 @@ relation before, the relation after and its change, a relation with a weight ``_
 +1 or -1 a row.
 
     join   change(A * B) = change(A) * B after  +  A before * change(B)
-    filter, function: of the change alone
+    filter, function: of the change alone; so are not and or of filters
     not    of the keys that changed, or whose match did: rows after less rows before
     or     of the rows that changed in a branch: presence after less presence before
 
@@ -16,10 +16,11 @@ the small side.
 from __future__ import annotations
 
 import functools
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eavspark.functions.values import MEMBER
@@ -83,7 +84,7 @@ def consolidated(rel: Relation) -> Relation:
 
 class DeltaCompiler:
     def __init__(self, spark: SparkSession, source: DatomSource, before: int, after: int):
-        self.spark = spark
+        self.spark, self.source = spark, source
         self.old, self.new = Compiler(spark, source, before), Compiler(spark, source, after)
         self.changes = Compiler(spark, Changes(source, before, after), None)
 
@@ -105,13 +106,16 @@ class DeltaCompiler:
     def step(self, c, a: Change | None) -> Change:
         old = functools.cache(lambda: self.old.apply(c, a.before() if a else None))
         new = functools.cache(lambda: self.new.apply(c, a.after() if a else None))
+        if a is not None and a.delta is not None and isinstance(c, q.Not | q.Or) and (test := self.test(c, a.delta)) is not None:
+            return Change(old, new, a.delta.where(test))
         match c:
             case q.Predicate() | q.Function():
                 return Change(old, new, a.delta and self.new.apply(c, a.delta))
             case q.Not():
                 return Change(old, new, self.without(c, a, old, new))
             case Star():
-                b = Change(lambda: self.old.scan(c), lambda: self.new.scan(c), self.changes.scan(c))
+                same = all(self.source.unchanged(x, self.old.basis, self.new.basis) for x in c.attributes)
+                b = Change(lambda: self.old.scan(c), lambda: self.new.scan(c), None if same else self.changes.scan(c))
             case q.Or():
                 b = self.union(c, a)
             case _:
@@ -125,21 +129,37 @@ class DeltaCompiler:
             parts.append(self.joined(a.before(), b.delta))
         return Change(old, new, self.sum(parts))
 
+    def test(self, c, rel: Relation) -> Column | None:
+        """Whether a row meets a clause of predicates alone; None if it has others, which need more than the row."""
+        if isinstance(c, q.Predicate):
+            return F.coalesce(self.new.holds(c, rel), F.lit(False))
+        if isinstance(c, q.Not) and c.vars is None:
+            tests = [self.test(x, rel) for x in c.clauses]
+            return None if any(t is None for t in tests) else ~functools.reduce(operator.and_, tests)
+        if isinstance(c, q.Or) and not isinstance(c, OneOf) and c.vars is None:
+            tests = [self.test(x, rel) for b in c.branches for x in b]
+            if any(t is None for t in tests):
+                return None
+            return functools.reduce(operator.or_, [functools.reduce(operator.and_, [self.test(x, rel) for x in b]) for b in c.branches])
+        return None
+
     @staticmethod
     def joined(x: Relation, y: Relation) -> Relation:
         """A natural join of which one side has weights; columns in one order whichever it is."""
         return x.join(y)
 
+    @classmethod
+    def sum(cls, parts: list[Relation]) -> Relation | None:
+        return consolidated(cls.together(parts)) if parts else None
+
     @staticmethod
-    def sum(parts: list[Relation]) -> Relation | None:
-        if not parts:
-            return None
+    def together(parts: list[Relation]) -> Relation:
         out = parts[0]
         for p in parts[1:]:
             kinds = {v: "any" if out.types[v] != p.types[v] else t for v, t in out.types.items()}
             x, y = out.as_types(kinds), p.as_types(kinds)
             out = Relation(x.df.unionByName(y.df), kinds)
-        return consolidated(out)
+        return out
 
     def seed(self, a: Change | None, names) -> Change | None:
         """The distinct values of variables, and how the set of them changed."""
@@ -157,17 +177,16 @@ class DeltaCompiler:
 
     def presence(self, touched: Relation, before: Relation, after: Relation) -> Relation:
         """+1 for the touched rows that came to be, -1 for those that ceased."""
-        came, went = touched.semi(after).anti(before), touched.semi(before).anti(after)
-        return self.sum([weighted(came, 1), weighted(went, -1)])
+        return touched.weighted_by(after, 1).weighted_by(before, -1).where(F.col("_w") != 0)
 
     def union(self, c: q.Or, a: Change | None) -> Change:
         names = list(dict.fromkeys(mentioned_vars(c)))
         before = functools.cache(lambda: self.old.branches(c, None) if self.alone(c) else self._branches(self.old, c, a.before()))
         after = functools.cache(lambda: self.new.branches(c, None) if self.alone(c) else self._branches(self.new, c, a.after()))
         touched = None
+        seed = functools.cache(lambda: self.seed(a, names))
         for b in c.branches:
-            start = None if self.new.alone(b) else self.seed(a, names)
-            delta = self.scope(b, start).delta
+            delta = self.scope(b, None if self.new.alone(b) else seed()).delta
             if delta is None:
                 continue
             one = Relation(delta.df.select(*[col(v) for v in names if v in delta.types]), {v: delta.types[v] for v in names if v in delta.types})
@@ -201,7 +220,7 @@ class DeltaCompiler:
         touched = keys[0] if len(keys) == 1 else keys[0].union(keys[1])
         touched = touched.distinct()
         # the rows of touched keys come from the two relations restricted to them, which Spark reads as a join with the few
-        return self.sum([weighted(new().semi(touched), 1), weighted(old().semi(touched), -1)])
+        return consolidated(self.together([weighted(new(), 1), weighted(old(), -1)]).semi(touched))
 
 
 def attributes(query: q.Query, source: FactSource) -> set[int]:

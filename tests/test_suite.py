@@ -32,6 +32,13 @@ def test_stored_against_sql(spark, sql, name):
     assert sorted(map(tuple, df.collect()), key=repr) == sorted(expected.fetchall(), key=repr)
 
 
+@pytest.mark.parametrize("name", ["not", "or", "pattern", "bag", "join", "not_value", "or_predicates"])
+def test_plans_of_deltas_hold_no_rows(spark, name):
+    """Rows in a plan are in the driver's memory, once a scan."""
+    df = stored_suite.queries()[f"delta_{name}"](spark, SF)
+    assert "LocalRelation" not in df._jdf.queryExecution().analyzed().toString()
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
