@@ -239,9 +239,12 @@ def compose(width: int, height: int, all_frames: list[Frame]) -> Iterator[tuple[
         box = canvas[f.top : f.top + f.height, f.left : f.left + f.width]
         samples = np.frombuffer(f.samples, np.uint8).reshape(f.height, f.width)[: box.shape[0], : box.shape[1]]
         palette = f.palette if f.palette is not None else np.frombuffer(GREY, np.uint8).reshape(-1, 3)
-        colours = np.concatenate([palette[np.minimum(samples, len(palette) - 1)], np.full((*samples.shape, 1), 255, np.uint8)], axis=2)
-        shown = np.ones(samples.shape, bool) if f.clear is None else samples != f.clear
-        box[shown] = colours[shown]
+        colours = palette[np.minimum(samples, len(palette) - 1)]
+        if f.clear is None:
+            box[..., :3], box[..., 3] = colours, 255
+        else:
+            shown = samples != f.clear
+            box[shown, :3], box[shown, 3] = colours[shown], 255
         yield f.delay, canvas.copy()
         if f.disposal == 2:
             box[:] = 0
@@ -251,8 +254,9 @@ def compose(width: int, height: int, all_frames: list[Frame]) -> Iterator[tuple[
 
 def histogram(canvas: np.ndarray) -> list[int]:
     """Pixels of each of ``BINS`` steps of red, green and blue, opaque ones only."""
-    seen = canvas[canvas[..., 3] == 255]
-    return np.concatenate([np.bincount(seen[:, c] // (256 // BINS), minlength=BINS) for c in range(3)]).tolist() if len(seen) else [0] * 3 * BINS
+    opaque = canvas[..., 3] == 255
+    seen = canvas.reshape(-1, 4) if opaque.all() else canvas[opaque]
+    return np.concatenate([np.bincount(seen[:, c], minlength=256).reshape(BINS, -1).sum(axis=1) for c in range(3)]).tolist()
 
 
 def payload(text: str | None, unit: int = UNIT) -> tuple[int, bytes]:

@@ -179,3 +179,21 @@ def test_gif_query(spark):
     media = gif.store(docs).select("doc_id", "media")
     frames = gif.frame_table(media.unionByName(spark.createDataFrame([(77, b"junk"), (78, None)], "doc_id long, media binary"))).collect()
     assert [(r.frame, r.at) for r in sorted(frames, key=lambda r: r.frame or 0) if r.doc_id == 4] == [(0, 0), (1, 10)] and {r.frame for r in frames if r.doc_id in (77, 78)} == {None}
+
+
+def test_opaque_canvas_is_not_copied():
+    """Histograms count in place where every pixel is seen, and give what a loop over pixels gives where not."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    canvas = rng.integers(0, 256, (1536, 24, 4)).astype(np.uint8)
+    canvas[..., 3] = 255
+    tracemalloc.start()
+    gif.histogram(canvas)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 11 * 1536 * 24
+    for alpha in (255, rng.choice([0, 255], (1536, 24)), 0):
+        canvas[..., 3] = alpha
+        seen = [p for p in canvas.reshape(-1, 4).tolist() if p[3] == 255]
+        assert gif.histogram(canvas) == [sum(p[c] // 16 == k for p in seen) for c in range(3) for k in range(16)]
