@@ -13,6 +13,7 @@ import json
 import os
 import re
 import struct
+from codecs import charmap_decode
 
 import numpy as np
 
@@ -39,7 +40,10 @@ def byte_letters() -> dict[int, int]:
 
 
 LETTERS = byte_letters()
-BLANK = chr(LETTERS[32])
+#: The letters of all bytes in order, for a decoder of single bytes.
+TABLE = "".join(chr(LETTERS.get(b, b)) for b in range(256))
+#: Packers of few ids, by how many.
+PACK = [struct.Struct(f"<{n}H").pack for n in range(32)]
 
 
 class Ids(dict):
@@ -49,12 +53,8 @@ class Ids(dict):
         self.merges = tokenizer.model.tokenize
 
     def __missing__(self, piece: str) -> bytes:
-        if piece.isascii() and piece.isprintable():
-            letters = piece.replace(" ", BLANK)
-        else:
-            letters = piece.encode().decode("latin-1").translate(LETTERS)
-        found = [t.id for t in self.merges(letters)]
-        ids = struct.pack(f"<{len(found)}H", *found)
+        found = [t.id for t in self.merges(charmap_decode(piece.encode(), "strict", TABLE)[0])]
+        ids = PACK[len(found)](*found) if len(found) < len(PACK) else struct.pack(f"<{len(found)}H", *found)
         if len(piece) <= LONGEST:
             if len(self) >= MOST:
                 self.clear()

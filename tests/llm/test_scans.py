@@ -43,6 +43,15 @@ def test_tokens_are_the_library_s(name):
     assert tokens.kind(tokens.path(name)) == name.split("_")[0]
 
 
+def test_missed_pieces():
+    """One table gives the letters of all bytes; ids are packed as such, few or many."""
+    assert len(tokens.TABLE) == 256 and [ord(x) for x in tokens.TABLE] == [tokens.LETTERS.get(b, b) for b in range(256)]
+    tokenizer = Tokenizer.from_file(tokens.path("byte_bpe_50k.json"))
+    held = tokens.Ids(tokenizer)
+    for piece in (" the", "\t\n\r", " \u00e9\u00d6\u017f\u00a1", "?", "!?" * 16, "q?x" * 31, "zq" * 300):
+        assert np.frombuffer(held[piece], "<u2").tolist() == [t.id for t in tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(tokens.LETTERS))]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
