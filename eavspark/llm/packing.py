@@ -34,11 +34,11 @@ def tokenized(documents: DataFrame, vocabulary: str, end: int) -> DataFrame:
     tail = np.array([end], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(vocabulary)
+        encode = tokens.encoders(vocabulary)
         for batch in batches:
-            for part in range(0, batch.num_rows, 512):
-                rows = batch.slice(part, 512)
-                ids = [encode(t.as_py() or "") + tail for t in rows["text"]]
+            for part in tokens.parts(batch["text"]):
+                rows = batch.slice(*part)
+                ids = [x + tail for x in encode([t or "" for t in rows["text"].to_pylist()])]
                 yield pa.RecordBatch.from_arrays(
                     [rows["doc_id"], rows["source"], pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     ["doc_id", "source", "n_ids", "ids"],

@@ -84,12 +84,13 @@ def write(documents: DataFrame, path: str, vocabulary: str | None = None, end: i
     schema = "key binary, kind int, doc_id long, n long, data binary"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, squeeze, sent = tokens.encoder(vocabulary), zstandard.ZstdCompressor(level=1).compress, set()
+        texts_ids, squeeze, sent = tokens.encoders(vocabulary), zstandard.ZstdCompressor(level=1).compress, set()
         for batch in batches:
-            for part in range(0, batch.num_rows, 256):
+            for part in tokens.parts(batch["text"]):
                 keys, kinds, ids_, ns, datas = [], [], [], [], []
-                for doc_id, text in zip(batch["doc_id"].slice(part, 256).to_pylist(), batch["text"].slice(part, 256)):
-                    raw = of(text.as_py() or "") + tail
+                rows = batch.slice(*part)
+                for doc_id, found in zip(rows["doc_id"].to_pylist(), texts_ids([t or "" for t in rows["text"].to_pylist()])):
+                    raw = found + tail
                     ids, recipe, last = np.frombuffer(raw, "<u2"), [], 0
                     for stop in (ends := cuts(ids)):
                         data = raw[2 * last : 2 * stop]

@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -52,6 +53,35 @@ def test_missed_pieces():
         assert np.frombuffer(held[piece], "<u2").tolist() == [t.id for t in tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(tokens.LETTERS))]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_many_texts_are_encoded_at_once(name, monkeypatch):
+    """Pieces are those of the pattern, none reaches over two texts, and one that comes often is looked up once."""
+    rng, of = random.Random(2), name.split("_")[0]
+    marks = [" ", "  ", "\n", "\t", "'", "''", "'s", "'re", "'ve", "'ll", "'LL", "l", "r", "v", "e", "s", "Zé", "ſ", "ª", "×", "²", "¼", "12", "!", "¡", "_"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(1, 30))) for _ in range(20_000)] + ["'", "s", "' ", "'", "re", "'r", "e"]
+    raw = [(t if of == "byte" else t.lower()).encode() for t in texts]
+    ends, data = np.cumsum([0, *map(len, raw)]), b"".join(raw)
+    at = [*np.flatnonzero(tokens.starts(np.frombuffer(data, np.uint8), ends[:-1], of)).tolist(), len(data)]
+    found = [data[a:b].decode() for a, b in zip(at, at[1:])]
+    split = tokens.BYTE_SPLIT if of == "byte" else tokens.WORD_SPLIT
+    assert [x for x in found if of == "byte" or not x.isspace()] == [x for r in raw for x in split.findall(r.decode())]
+
+    looked = []
+    monkeypatch.setattr(tokens.Ids, "__getitem__", lambda self, piece: (looked.append(piece), self.get(piece) or self.__missing__(piece))[1], raising=False)
+    encode, plain = tokens.encoders.__wrapped__(tokens.path(name)), Tokenizer.from_file(tokens.path(name))
+    some = [*TEXTS, "", "the cat", "<|endoftext|>", *["the cat's the cat"] * 1000, "日本 the"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in encode(some)] == [plain.encode(t, add_special_tokens=False).ids for t in some]
+    assert len(looked) == len(set(looked)) and encode([]) == [] and encode(["", "a"])[0] == b""
+
+
+def test_parts_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "BYTES", 10)
+    monkeypatch.setattr(tokens, "ROWS", 3)
+    texts = pa.array(["a" * 25, None, "", "é" * 5, "b", None, "", "c", "d" * 11])
+    got = list(tokens.parts(texts))
+    assert got == [(0, 1), (1, 3), (4, 3), (7, 1), (8, 1)] and list(tokens.parts(pa.array([], pa.string()))) == []
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
