@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from eavspark.llm.shared import crc_mod4, ship
+from eavspark.llm.shared import crc_mod4, lean, ship
 
 #: Dimensions of a vector.
 DIMENSIONS = 1 << 13
@@ -188,7 +188,7 @@ def identify(documents: DataFrame, model: Model | None, names: list[str] = ["lan
                         lang[k] = model.languages[j]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(reject)], [*rows.schema.names, *names])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def predict(documents: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eavspark.llm.embed_dedup import roots
-from eavspark.llm.shared import block_pairs, components, dealt_anew, drop, map_groups, plausible, stage
+from eavspark.llm.shared import block_pairs, components, dealt_anew, drop, lean, map_groups, plausible, stage
 from eavspark.llm.words import grams, mix, words_of
 
 WORDS, SIMILAR = 5, 0.8
@@ -100,7 +100,7 @@ def sets(documents: DataFrame, words: int, depths: list[int], depth: int, keep:
                 )
 
     found = documents.select(F.col("doc_id").cast("long"), (F.col(keep) if keep else F.lit(0)).cast("long").alias("kept_key"), "text")
-    found = found.mapInArrow(run, "doc_id long, kept_key long, same binary, size long, shingles binary, full binary, keys array<long>, sketch array<long>")
+    found = found.mapInArrow(lean(run), "doc_id long, kept_key long, same binary, size long, shingles binary, full binary, keys array<long>, sketch array<long>")
     return stage(found.withColumn("row", F.monotonically_increasing_id()), "sets")
 
 

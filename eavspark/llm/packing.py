@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eavspark.llm import tokens
-from eavspark.llm.shared import running_total, stage
+from eavspark.llm.shared import lean, running_total, stage
 
 WINDOW = 2048
 #: Tokens of a packet at most, and at least: the grain to which a window keeps the proportions.
@@ -44,7 +44,7 @@ def tokenized(documents: DataFrame, vocabulary: str, end: int) -> DataFrame:
                     ["doc_id", "source", "n_ids", "ids"],
                 )
 
-    ids = documents.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, n_ids long, ids binary")
+    ids = documents.select("doc_id", "source", "text").mapInArrow(lean(run), "doc_id long, source string, n_ids long, ids binary")
     return stage(ids.withColumn("row", F.monotonically_increasing_id()), "tokens")
 
 
@@ -117,4 +117,4 @@ def pack(documents: DataFrame, vocabulary: str | None = None, end: int = END, wi
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids array<int>"
-    return rows.join(of, "row").select("doc_id", "source", "n_ids", "ids", "pieces").mapInArrow(cut, schema)
+    return rows.join(of, "row").select("doc_id", "source", "n_ids", "ids", "pieces").mapInArrow(lean(cut), schema)

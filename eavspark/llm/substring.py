@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eavspark.llm.shared import boundaries, drop, map_tables, partitions, release, stage, unused
+from eavspark.llm.shared import boundaries, drop, lean, map_tables, partitions, release, stage, unused
 from eavspark.llm.words import WORD, grams, mix, words_of
 
 SEED, WINDOW = 8, 6
@@ -401,7 +401,7 @@ def tokenized(documents: DataFrame) -> DataFrame:
                 texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([rows["doc_id"], texts.cast(pa.binary())], ["doc_id", "words"])
 
-    found = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, words binary")
+    found = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, words binary")
     return stage(found.withColumn("row", F.monotonically_increasing_id()), "words")
 
 
@@ -479,7 +479,7 @@ def matches(texts: DataFrame) -> DataFrame:
         out = np.concatenate(out, axis=1)
         return pa.table(list(out), names=["row", "at", "of_row", "of_at"])
 
-    blobs = texts.select("row", "words").mapInArrow(send, "bucket int, kind int, data binary")
+    blobs = texts.select("row", "words").mapInArrow(lean(send), "bucket int, kind int, data binary")
     return map_tables(blobs, ["bucket"], match, MATCH)
 
 
@@ -680,4 +680,4 @@ def remove(documents: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch[c] for c in columns], columns)
 
-    return both.mapInArrow(cut, documents.schema)
+    return both.mapInArrow(lean(cut), documents.schema)

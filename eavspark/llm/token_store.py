@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eavspark.llm import tokens
-from eavspark.llm.shared import boundaries, map_groups, partitions, release, running_total, stage
+from eavspark.llm.shared import boundaries, lean, map_groups, partitions, release, running_total, stage
 
 END = 2
 #: Ids of a chunk: at least, at most; and the bits that cut, so 64 + 512 on average.
@@ -123,7 +123,7 @@ def write(documents: DataFrame, path: str, vocabulary: str | None = None, end: i
             keep = pc.or_(pc.equal(table["kind"], 1), pa.array(first))
             yield from table.filter(keep).combine_chunks().to_batches()
 
-    sent = documents.select("doc_id", "text").mapInArrow(encode, schema)
+    sent = documents.select("doc_id", "text").mapInArrow(lean(encode), schema)
     kept = sent.repartition(partitions(spark), "key").sortWithinPartitions("kind", "key").mapInArrow(once, schema)
     kept.write.option("compression", "none").partitionBy("kind").parquet(f"{path}/sent")
     fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())

@@ -3,8 +3,11 @@
 import glob
 import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +85,32 @@ def test_parts_are_bounded(monkeypatch):
     assert got == [(0, 1), (1, 3), (4, 3), (7, 1), (8, 1)] and list(tokens.parts(pa.array([], pa.string()))) == []
 
 
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_a_worker_gives_freed_memory_back():
+    """In a process of its own: what a task has freed isn't kept until the next one, also when the task isn't read to its end."""
+    code = """
+import pyarrow as pa
+from pathlib import Path
+from eavspark.llm import shared
+held = lambda: sum(int(x.split()[1]) for x in Path("/proc/self/status").read_text().splitlines() if x.startswith("RssAnon")) / 1024
+pins = []
+def fn(batches):
+    for b in batches:
+        kept = [bytearray(b"x" * 20_000) for _ in range(5_000)]
+        pins.extend(kept[::100])
+        del kept
+        yield b
+batch = pa.RecordBatch.from_pydict({"a": [1]})
+before = held()
+assert len(list(shared.lean(fn)([batch, batch]))) == 2
+some = shared.lean(fn)([batch, batch])
+next(some)
+some.close()
+assert held() - before < 60, (before, held())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[2])
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
