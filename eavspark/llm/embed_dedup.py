@@ -129,8 +129,8 @@ def links(vectors: DataFrame, least: float = LINKED, recall: float = RECALL, pro
     usable = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding").mapInArrow(unit, "vec_id long, label string, raw binary, unit binary")
     usable = stage(usable.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.xxhash64("label").alias("label"), F.sha2(F.concat(F.encode("label", "UTF-8"), F.lit(b"\0"), "raw"), 256).alias("same_as"), "unit"), "vectors")
     slim = usable.select("row", "vec_id", "same_as")
-    reps = stage(slim.where("same_as IS NOT NULL").groupBy("same_as").agg(F.min("row").alias("rep"), F.count("*").alias("same")), "reps")
-    copies = stage(slim.join(reps, "same_as", "left").select("row", "vec_id", "rep", "same"), "copies")
+    reps = stage(slim.where("same_as IS NOT NULL").groupBy("same_as").agg(F.min("row").alias("rep"), F.count("*").alias("same")), "reps", narrow=True)
+    copies = stage(slim.join(reps, "same_as", "left").select("row", "vec_id", "rep", "same"), "copies", narrow=True)
     only = copies.where("row = rep").select("row", "same")
     distinct = usable.join(only, "row").select(F.col("row").alias("node"), "label", "same", "unit")
     size = distinct.agg(F.count("*"), F.max(F.octet_length("unit"))).first()

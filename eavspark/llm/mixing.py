@@ -62,7 +62,7 @@ def mix(documents: DataFrame, weights: list[int] = [5, 2, 1], share: float = 1.5
     })
     queued = running_total(rows, ["_shuffle", "doc_id", "size"], "size", ["_src"], "_before")
     queued = queued.withColumn("_row", F.monotonically_increasing_id())
-    queued = stage(queued, "queued")
+    queued = stage(queued, "queued", narrow=True)
     goal = targets(queued, weights, share, most)
     goal = goal.withColumn("_src", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))).drop("source")
     places = queued.join(goal, "_src").withColumn("_copy", F.explode(F.array(*[F.lit(k) for k in range(most)])))

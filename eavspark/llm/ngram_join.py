@@ -139,8 +139,8 @@ def links(documents: DataFrame, words: int = WORDS, similar: float = SIMILAR, re
     all_sets = sets(documents, words, prefixes(similar, recall), DEPTH, keep)
     slim = all_sets.select("row", "doc_id", "kept_key", F.when(F.col("size") > 0, F.col("same")).otherwise(F.encode(F.col("row").cast("string"), "UTF-8")).alias("same_as"), "size")
     # written, so that the join on a hot key is one which adaptive execution splits
-    reps = stage(slim.groupBy("same_as").agg(F.min("row").alias("rep"), F.count("*").alias("same")), "reps")
-    copies = stage(slim.join(reps, "same_as").select("row", "doc_id", "kept_key", "rep", "same", "size"), "copies")
+    reps = stage(slim.groupBy("same_as").agg(F.min("row").alias("rep"), F.count("*").alias("same")), "reps", narrow=True)
+    copies = stage(slim.join(reps, "same_as").select("row", "doc_id", "kept_key", "rep", "same", "size"), "copies", narrow=True)
     only = copies.where("row = rep AND size > 0").select("row", "same")
     members = stage(all_sets.select("row", "keys").join(only, "row").select(F.explode("keys").alias("key"), F.col("row").alias("node")), "prefixes")
     met = plausible(members, all_sets.select(F.col("row").alias("node"), "sketch"), near_bits(similar))
@@ -196,7 +196,7 @@ def classes(documents: DataFrame, words: int = WORDS, similar: float = SIMILAR,
         "row", "doc_id", "kept_key", (F.when(F.col("size") > 0, F.col("same") - 1).otherwise(0) + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("component", "rep").alias("component"),
     )
-    linked = stage(linked, "linked")
+    linked = stage(linked, "linked", narrow=True)
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
     first = dealt_anew(linked.groupBy("component").agg(F.min(place).alias("first")), "component")
     out = ["doc_id", F.col("first.doc_id").alias("class_id"), "n_links", (F.col("row") == F.col("first.row")).alias("kept")]

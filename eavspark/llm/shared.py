@@ -68,11 +68,26 @@ def clear(spark: SparkSession) -> None:
         delete(spark, MADE.pop())
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, as it was, with no lineage."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Partitions that go to one file of a table of few bytes a row.
+NARROW = 4
+
+
+def stage(df: DataFrame, name: str = "stage", narrow: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, as it was, with no lineage.
+
+    Each file that an executor writes to a local file system costs it up to three processes (a chmod of the file, of its checksums
+    and of their folder), and one that has just been started shares, and is counted with, the JVM's whole memory. So no files of
+    checksums are written there, Parquet's own of each page are verified instead; and of a ``narrow`` table, of few bytes a row, some
+    partitions go to one file, unshuffled, in as many tasks as there are cores at least. Not for
+    what Python workers return: the pipeline's stages so dealt took more of an executor's memory.
+    """
+    spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-partitions(spark) // NARROW)))
+    path = new_path(spark, name)
+    plain = {} if spark._jsc.hadoopConfiguration().get("fs.file.impl") else {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+    df.write.options(compression="zstd", **plain).option("parquet.page.write-checksum.enabled", "true").parquet(path)
+    return spark.read.schema(df.schema).option("parquet.page.verify-checksum.enabled", "true").parquet(path)
 
 
 def drop(*tables: DataFrame) -> None:
@@ -128,7 +143,7 @@ def running_total(df: DataFrame, order: list[str], value: str, keys: list[str] =
     so no key, however large, is brought to one task. ``keys`` must not be null. The
     block count follows ``spark.sql.shuffle.partitions``.
     """
-    ranged = stage(df.repartitionByRange(partitions(df.sparkSession), *order).withColumn("_block", F.spark_partition_id()), "ranged")
+    ranged = stage(df.repartitionByRange(partitions(df.sparkSession), *order).withColumn("_block", F.spark_partition_id()), "ranged", narrow=True)
     on = ["_block", *keys]
     blocks = ranged.groupBy(*on).agg(F.sum(value).alias("_sum"))
     upto = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -160,7 +175,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     (``dealt_anew``), so that adaptive execution splits the join on a hot node. Every round is written to the
     shared folder.
     """
-    now = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    now = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges", narrow=True)
     seen = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -170,7 +185,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         # small star: a node and its smaller neighbours go to the least of them
         least = dealt_anew(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
-        after = stage(small.where("a <> b").distinct(), "edges")
+        after = stage(small.where("a <> b").distinct(), "edges", narrow=True)
         drop(now)
         now = after
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -199,18 +214,18 @@ def plausible(members: DataFrame, sketches: DataFrame, near: int, rounds: int =
     left, found, made = members, None, []
     for k in range(rounds + 1):
         firsts = dealt_anew(left.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "key")
-        pairs = stage(left.join(firsts, "key").where("node <> first").select("key", "node", "first"), "pairs")
+        pairs = stage(left.join(firsts, "key").where("node <> first").select("key", "node", "first"), "pairs", narrow=True)
         made.append(pairs)
         links = pairs.select("node", "first")
         if k < rounds:
-            judged = stage(links.distinct().join(sketches, "node").join(other, "first").select("node", "first", apart.alias("apart")), "judged")
+            judged = stage(links.distinct().join(sketches, "node").join(other, "first").select("node", "first", apart.alias("apart")), "judged", narrow=True)
             made.append(judged)
             links = judged.where(F.col("apart") <= 2 * near).select("node", "first")
         found = links if found is None else found.unionByName(links)
         if k == rounds or judged.where(F.col("apart") > near).isEmpty():
             break
         left = pairs.join(judged.where(F.col("apart") > near).select("node", "first"), ["node", "first"]).select("key", "node")
-    out = stage(found.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "plausible")
+    out = stage(found.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "plausible", narrow=True)
     drop(*made)
     return out
 
